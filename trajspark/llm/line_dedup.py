@@ -62,7 +62,8 @@ def _id() -> Column:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with cleaned text, and n_lines, n_chunks, n_removed_chunks, n_removed_lines."""
-    rows = with_chunks(docs.select("doc_id", "text")).select(_id().alias("_id"), F.explode("_chunks").alias("chunk"))
+    # The outer form: for a plain explode, a filter on the size of the chunks would be pushed to the scan, and inlined there.
+    rows = with_chunks(docs.select("doc_id", "text")).select(_id().alias("_id"), F.explode_outer("_chunks").alias("chunk"))
     rows = rows.where(_word_lines(F.col("chunk")) >= LEAST_LINES).withColumn("h", F.xxhash64("chunk"))
     firsts = rows.groupBy("h", "chunk").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     narrow = rows.select("_id", "h").distinct()
