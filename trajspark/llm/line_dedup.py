@@ -68,7 +68,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     firsts = rows.groupBy("h", "chunk").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     narrow = rows.select("_id", "h").distinct()
     hits = narrow.join(firsts, "h").groupBy("_id").agg(F.collect_list(F.struct("chunk", "first")).alias("_hits"))
-    d = with_chunks(docs.withColumn("_id", _id())).join(hits, "_id", "left")
+    d = with_chunks(docs.withColumn("_id", _id()).join(hits, "_id", "left"))  # cut into chunks behind the shuffle, which so carries one copy of the text
     gone = F.transform(
         "_chunks",
         lambda c, k: F.exists(F.col("_hits"), lambda x: (x["chunk"] == c) & ((x["first"] != F.col("_id")) | (F.array_position("_chunks", c) != k + 1))),
@@ -87,6 +87,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         }
     )
     d = d.withColumn("n_chunks", F.greatest("n_chunks", F.lit(0).cast("long"))).withColumn("n_removed_chunks", F.greatest("n_removed_chunks", F.lit(0).cast("long")))
+    # A caller's filter on the new columns must not be pushed below them: nested lambdas would be inlined into
+    # one another and evaluated for every element. The partition's number, not deterministic, holds it here.
+    d = d.withColumn("_here", F.spark_partition_id()).where("_here >= 0")
     columns = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")]
     return d.select(*columns, "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 
