@@ -174,7 +174,9 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], list
     if cut_at is None:
         return [], []
     texts, langs, used = [], [], dict.fromkeys(sizes, 0)
-    for r in learn.where(u <= cut_at).select("lang", "text").toLocalIterator():
+    # The exchange lets the whole scan run in parallel, and holds the sample alone; its order is the same in every run.
+    picked = learn.where(u <= cut_at).select("doc_id", "lang", "text").repartition(16, "doc_id").sortWithinPartitions("doc_id", "lang", "text")
+    for r in picked.toLocalIterator():
         size = len(r["text"] or "")
         if used[r["lang"]] + size <= SAMPLE_CHARS // len(sizes):
             used[r["lang"]] += size
