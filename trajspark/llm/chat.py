@@ -11,10 +11,13 @@ DataFrame and SQL expressions only. One row a record: a conversation of any leng
 gathered in one place.
 
 Defined results. A null or unparsable arguments text is invalid ('json'); an unknown tool is invalid
-('tool'); a tie of identifiers within a conversation keeps the smallest (turn, arguments) and flags
-the others 'duplicate'. Results without a call come as orphans at depth 0; a call without a result has
-a null one. Null conversation or identifier: never linked, but returned. An empty input gives an
-empty result; extra columns are ignored.
+('tool'). Of calls that share an identifier within a conversation the smallest (turn, arguments, name,
+parent) is linked, of results the smallest (turn, content). With ``every_row``, each of the others is a
+record of its own, flagged 'duplicate': a call one level below its parent, a result as an orphan; and the
+linked call has the status it would have alone. Without it they are left out, and the linked call is
+flagged 'duplicate'. Results without a call come as orphans at depth 0; a call without a result has a null
+one. Null conversation or identifier: never linked, but returned. A turn of null role counts as a result
+nobody asked for. An empty input gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,7 +79,15 @@ def depths(calls: DataFrame) -> DataFrame:
     return now.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("span")).alias("depth"))
 
 
-def link(calls: DataFrame, results: DataFrame, tools: Mapping[str, Schema]) -> DataFrame:
+def _others(rows: DataFrame, firsts: DataFrame, fields: list[str]) -> DataFrame:
+    """``rows`` but for one copy of each of ``firsts`` (conv_id, call_id, _first): equal rows are counted, not gathered."""
+    of = F.struct(*fields)
+    rows = rows.join(firsts, ["conv_id", "call_id"]).groupBy("conv_id", "call_id", *fields, of.eqNullSafe(F.col("_first")).alias("_kept")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_n", F.col("_n") - F.col("_kept").cast("long")).where("_n > 0")
+    return rows.select("conv_id", "call_id", *fields, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_n")).drop("_n")
+
+
+def link(calls: DataFrame, results: DataFrame, tools: Mapping[str, Schema], every_row: bool = False) -> DataFrame:
     """Calls (conv_id, turn, call_id, parent_id, name, arguments) and results (conv_id, turn, call_id, content) as ordered records.
 
     Returns conv_id, call_id, kind ('call' or 'orphan'), turn, result_turn, depth, status and json.
@@ -89,17 +100,28 @@ def link(calls: DataFrame, results: DataFrame, tools: Mapping[str, Schema]) -> D
     )
     unique = first.select("conv_id", "call_id", "c.*", (F.col("n") - 1).alias("repeats"))
     answer = results.where(linked).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    placed = unique.join(depths(unique), ["conv_id", "call_id"]).join(answer, ["conv_id", "call_id"], "full")
+    deep = depths(unique)
+    placed = unique.join(deep, ["conv_id", "call_id"]).join(answer, ["conv_id", "call_id"], "full")
     loose_calls = calls.where(~linked).select("conv_id", "call_id", "turn", "arguments", "name", "parent_id", F.lit(0).cast("long").alias("repeats"), F.lit(0).cast("long").alias("depth"), F.lit(True).alias("is_call"))
     loose_results = results.where(~linked).select("conv_id", "call_id", F.struct("turn", "content").alias("r"), F.lit(1).cast("long").alias("n_results"), F.lit(False).alias("is_call"))
     placed = placed.withColumn("is_call", F.col("repeats").isNotNull())
     every = placed.unionByName(loose_calls, allowMissingColumns=True).unionByName(loose_results, allowMissingColumns=True)
+    every = every.withColumn("_repeat", F.lit(False))
+    if every_row:
+        again = _others(calls, first.where("n > 1").select("conv_id", "call_id", F.col("c").alias("_first")), ["turn", "arguments", "name", "parent_id"])
+        up = deep.select("conv_id", F.col("call_id").alias("parent_id"), F.col("depth").alias("_up"), F.lit(True).alias("_known"))
+        again = again.join(up, ["conv_id", "parent_id"], "left").withColumn("depth", F.when(F.col("_known"), F.col("_up") + 1).otherwise(0).cast("long")).drop("_up", "_known")
+        late = _others(results, answer.where("n_results > 1").select("conv_id", "call_id", F.col("r").alias("_first")), ["turn", "content"])
+        late = late.select("conv_id", "call_id", F.struct("turn", "content").alias("r"))
+        for rows, is_call in ((again, True), (late, False)):
+            every = every.unionByName(rows.withColumns({"is_call": F.lit(is_call), "_repeat": F.lit(True)}), allowMissingColumns=True)
     every = every.withColumn("_args", F.try_parse_json("arguments"))
     every = every.withColumn("_bad", F.when(F.col("is_call"), invalid(F.col("_args"), F.col("name"), tools)))
     status = (
-        F.when(~F.col("is_call"), "orphan")
+        F.when(F.col("_repeat"), "duplicate")
+        .when(~F.col("is_call"), "orphan")
         .when(F.col("depth").isNull(), "cycle")
-        .when(F.col("repeats") > 0, "duplicate")
+        .when(F.lit(not every_row) & (F.col("repeats") > 0), "duplicate")
         .when(F.col("_bad").isNotNull(), F.concat(F.lit("invalid:"), F.col("_bad")))
         .when(F.col("r").isNull(), "unanswered")
         .otherwise("ok")
@@ -127,15 +149,15 @@ def from_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations (conv_id, turn, role, text), by a fixed reading.
 
     Every user turn calls the tool 'brief' (texts of up to 120 characters) or 'reply' with its text; the
-    assistant turn that follows at once answers it; the call two turns earlier is its parent. System turns
-    are results nobody asked for.
+    assistant turn that follows at once answers it; the call two turns earlier is its parent. System turns,
+    and those of null role, are results nobody asked for.
     """
     m = messages.select("conv_id", "turn", "role", "text")
     name = F.when(F.length("text") <= 120, "brief").otherwise("reply")
     ident = lambda back: F.concat(F.lit("t"), (F.col("turn") - back).cast("string"))
     args = F.to_json(F.struct(F.col("text").alias("text"), F.length("text").alias("chars")))
     calls = m.where("role = 'user'").select("conv_id", "turn", ident(0).alias("call_id"), ident(2).alias("parent_id"), name.alias("name"), args.alias("arguments"))
-    results = m.where("role <> 'user'").select("conv_id", "turn", F.when(F.col("role") == "assistant", ident(1)).otherwise(ident(0)).alias("call_id"), F.col("text").alias("content"))
+    results = m.where("not role <=> 'user'").select("conv_id", "turn", F.when(F.col("role") == "assistant", ident(1)).otherwise(ident(0)).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 

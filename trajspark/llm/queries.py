@@ -34,7 +34,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(*chat.from_turns(table(spark, sf_dir, "conversations")), chat.TURN_TOOLS)
+    return chat.link(*chat.from_turns(table(spark, sf_dir, "conversations")), chat.TURN_TOOLS, every_row=True)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
