@@ -7,6 +7,12 @@ seen is not opened again, which ends cycles. Every layer maps its characters to
 document: percent and Unicode escapes character by character, base64 and compression to their whole
 region, so what is found anywhere is reported where it stands in the text.
 
+Percent escapes are resolved over the whole layer, and in each blank-free token too. Base64 may be broken
+over lines, and may begin or end within a run of its alphabet ('key_...', a path): a run is read at the
+alignment of its start and at those of every character behind a break, '/', '_', '-' or '+', and any
+stretch of at least ``LEAST_TEXT`` characters of text in the bytes is a layer. Compressed streams are
+looked for at the same places; all members of a gzip stream are unpacked.
+
 Defined results. A null text counts as empty: zero counts, no spans. Repeated rows are scanned as
 often as they occur; an empty table gives an empty result; other columns are not read. A layer that
 would unpack to more than ``MOST_BYTES`` is not opened, which ``n_refused`` counts: its bytes would
@@ -31,6 +37,8 @@ from .common import small_batches
 KINDS = ("assign", "access", "hex")
 MOST_BYTES = 64 << 20
 LEAST_BASE64 = 16
+#: The shortest secret, 'token:' and eight characters, has as many.
+LEAST_TEXT = 14
 # Fixed patterns of the three kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -39,6 +47,9 @@ _HINTS = ("passw", "secret", "token", "api")
 _TOKEN = re.compile(r"[!-~]+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
+_STRETCH = re.compile("[^\x00-\x08\x0e-\x1f\x7f\udc80-\udcff]{%d,}" % LEAST_TEXT)
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_BASE64)
 
 
@@ -72,12 +83,18 @@ def _unpack(data: bytes) -> tuple[bytes | None, bool]:
         wbits = 15
     else:
         return None, False
+    out = None
     try:
-        d = zlib.decompressobj(wbits)
-        out = d.decompress(data, MOST_BYTES + 1)
+        while True:
+            d = zlib.decompressobj(wbits)
+            out = (out or b"") + d.decompress(data, MOST_BYTES + 1 - len(out or b""))
+            if len(out) > MOST_BYTES:
+                return None, True
+            data = d.unused_data
+            if wbits == 15 or data[:2] != b"\x1f\x8b":  # only gzip has members
+                return out, False
     except zlib.error:
-        return None, False
-    return (None, True) if len(out) > MOST_BYTES else (out, False)
+        return out, False  # the members before a broken one
 
 
 def _bytes_layer(data: bytes) -> tuple[str | None, bool]:
@@ -96,6 +113,44 @@ def _bytes_layer(data: bytes) -> tuple[str | None, bool]:
         data = inner
 
 
+def _stretches(body: str, breaks: set[int]) -> tuple[list[tuple[str, int, int]], int]:
+    """(text, start, end) of what ``body``, a run in the standard alphabet, decodes to in whole or in part, and how much was refused.
+
+    ``breaks`` are offsets at which base64 may begin besides 0.
+    """
+    found: list[tuple[str, int, int]] = []
+    refused = 0
+    for r in sorted({0} | {b % 4 for b in breaks}):
+        part = body[r : len(body) - (len(body) - r) % 4] if (len(body) - r) % 4 == 1 else body[r:]
+        data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+        if r == 0:
+            plain, no = _bytes_layer(data)
+            refused += no
+            if plain:
+                found.append((plain, 0, len(body)))
+        for b in breaks:
+            at = (b - r) // 4 * 3
+            if b % 4 == r and b and (head := data[at : at + 3]) and (head[:2] == b"\x1f\x8b" or head[0] & 15 == 8 and int.from_bytes(head[:2], "big") % 31 == 0):
+                packed = data[at:]
+                if _unpack(packed) != (None, False):
+                    plain, no = _bytes_layer(packed)
+                    refused += no
+                    if plain:
+                        found.append((plain, b, len(body)))
+        text = data.decode("utf-8", "surrogateescape")
+        at = done = 0
+        for m in _STRETCH.finditer(text):
+            at += len(text[done : m.start()].encode("utf-8", "surrogateescape"))
+            done, size = m.start(), len(m[0].encode())
+            if size < len(data) or not found or found[0][0] != m[0]:
+                found.append((m[0], r + at // 3 * 4, min(len(body), r - (at + size) // -3 * 4)))
+    return found, refused
+
+
+def _is_word(t: str) -> bool:
+    return t.isalpha() and (t.islower() or t.istitle())
+
+
 class _Layer:
     """A decoded text; ``starts`` and ``ends`` give the document's span of each of its characters, or one for all."""
 
@@ -112,7 +167,7 @@ class _Layer:
 
 
 def _percent(layer: _Layer, a: int, b: int) -> _Layer:
-    """A token with its percent escapes resolved: runs of them are UTF-8."""
+    """A token, or a whole layer, with its percent escapes resolved: runs of them are UTF-8."""
     starts, ends = layer.part(a, b)
     t = layer.text[a:b]
     out, s, e, i = [], [], [], 0
@@ -168,23 +223,35 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
         layer = work.pop()
         inner: list[_Layer] = []
         if _PERCENT.search(layer.text):
+            inner.append(_percent(layer, 0, len(layer.text)))
             inner += [_percent(layer, m.start(), m.end()) for m in _TOKEN.finditer(layer.text) if _PERCENT.search(m[0])]
         if "\\" in layer.text and (hits := list(_ESCAPE.finditer(layer.text))):
             inner.append(_escapes(layer, hits))
+        runs = []
         for m in _BASE64.finditer(layer.text):
-            if m.end() - m.start() < 24 and m[0].isalpha() and (m[0].islower() or m[0].istitle()):
-                continue  # a word
-            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            if len(body) % 4 == 1:
-                continue
-            try:
-                data = base64.b64decode(body + "=" * (-len(body) % 4))
-            except binascii.Error:
+            if m.end() - m.start() < 24 and _is_word(m[0]):
                 continue
-            plain, no = _bytes_layer(data)
+            runs.append((m.start(), m.end(), m[0], set(), None))
+        if "\n" in layer.text:
+            for m in _WRAPPED.finditer(layer.text):
+                lines = _BREAK.split(m[0])
+                if m.end() - m.start() < LEAST_BASE64 or all(map(_is_word, lines)):
+                    continue
+                places = [i for i, ch in enumerate(m[0]) if ch not in " \t\r\n"]
+                joints, n = set(), 0
+                for x in lines[:-1]:
+                    n += len(x)
+                    joints.add(n)
+                runs.append((m.start(), m.end(), "".join(lines), joints, places))
+        for start, end, run, breaks, places in runs:
+            body = run.rstrip("=")
+            if len(body) < len(run) or not body.isalnum():
+                breaks = breaks | {i + 1 for i, ch in enumerate(body) if ch in "/_-+" and i + 1 < len(body)}
+            stretches, no = _stretches(body.replace("-", "+").replace("_", "/"), breaks)
             refused += no
-            if plain:
-                a, b = layer.span(m.start(), m.end())
+            for plain, i, j in stretches:
+                to = end if j == len(body) else start + (places[j - 1] + 1 if places else j)
+                a, b = layer.span(start + (places[i] if places else i), to)
                 inner.append(_Layer(plain, [a], [b], True))
         for x in inner:
             if not x.text:
