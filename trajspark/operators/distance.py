@@ -67,6 +67,19 @@ def frechet(a: np.ndarray, b: np.ndarray, tau: float | None = None) -> np.ndarra
     return out if tau is None else np.where(out <= tau, out, _INF)
 
 
+def _common_bits(match: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence by (pairs, n, m) matches, m of at most 64: a row is one word, its steps are carries."""
+    p, n, m = match.shape
+    wide = np.zeros((p, n, 64), bool)
+    wide[:, :, :m] = match
+    words = np.packbits(wide, axis=2, bitorder="little").view("<u8")[:, :, 0].astype(np.uint64)
+    v = np.full(p, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(n):
+        u = v & words[:, i]
+        v = (v + u) | (v - u)
+    return np.bitwise_count(~v).astype(int)
+
+
 def lcss(a: np.ndarray, b: np.ndarray, epsilon: float = 1.0, alpha: float = 0.1) -> np.ndarray:
     """1 minus the mean over axes of the longest common subsequence's share of the shorter track, clipped to 0..1."""
     n, m = a.shape[1], b.shape[1]
@@ -75,6 +88,9 @@ def lcss(a: np.ndarray, b: np.ndarray, epsilon: float = 1.0, alpha: float = 0.1)
     total = np.zeros(len(a))
     for axis in range(a.shape[2]):
         near = np.abs(a[:, :, None, axis] - b[:, None, :, axis]) <= epsilon
+        if m <= 64:
+            total += _common_bits(near & (np.abs(np.arange(n)[:, None] - np.arange(m)) <= delta)) / least
+            continue
         prev = np.zeros((len(a), m + 1), int)
         for i in range(n):
             row = np.zeros_like(prev)

@@ -93,8 +93,15 @@ def _sum_step(diag: int, band: int | None = None) -> str:
     return out if band is None else f"case when abs(i + 1 - x[1]) > {band} then 'infinity'::double else {out} end"
 
 
-def _dp(spark, d, name, **options):
-    return distance.with_distance(_edge_tracks(spark, d), "v_a", "v_b", name, "d", **options).select("flow", "flight_id_a", "flight_id_b", r("d").alias("d"))
+def _dense(spark, d, name, **options):
+    """A costly distance of every pair of a flow."""
+    p = joins.pairs(vectors(spark, d), ["flow"], "flight_id", ["v"])
+    return distance.with_distance(p, "v_a", "v_b", name, "d", **options).select("flow", "flight_id_a", "flight_id_b", r("d").alias("d"))
+
+
+def _dp(spark, d, name, k=5, **options):
+    """A costly distance of the pairs of each track and its ``k`` nearest; the SQL of the queries has 5, the reference 30."""
+    return distance.with_distance(_edge_tracks(spark, d, k), "v_a", "v_b", name, "d", **options).select("flow", "flight_id_a", "flight_id_b", r("d").alias("d"))
 
 
 @query(_dp_sql(_EUC, _SUM_FIRST, _sum_step(2)))
@@ -119,7 +126,27 @@ def frechet_discrete(spark, d):
 
 @query()
 def lcss_distance(spark, d):
-    return _dp(spark, d, "lcss", epsilon=0.1, alpha=0.1)
+    return _dense(spark, d, "lcss", epsilon=0.1, alpha=0.1)
+
+
+@query()
+def dtw_symmetric2_dense(spark, d):
+    return _dense(spark, d, "dtw")
+
+
+@query()
+def dtw_symmetric1_dense(spark, d):
+    return _dense(spark, d, "dtw_symmetric1")
+
+
+@query()
+def dtw_banded_dense(spark, d):
+    return _dense(spark, d, "dtw_banded", window=4)
+
+
+@query()
+def frechet_discrete_dense(spark, d):
+    return _dense(spark, d, "frechet")
 
 
 @query()
