@@ -14,7 +14,8 @@ and the only approximation is the probability that a bound fails.
 Defined results. Vectors that are null, empty or zero, or hold null or non-finite components, take
 no part, neither do rows with a null vec_id. Vectors are compared with those of their own length.
 Ties go to the smaller vec_id. With fewer than k candidates all are returned; an empty table gives
-an empty result. Repeated vec_ids are separate candidates, but never their own query's.
+an empty result. Repeated vec_ids are separate candidates, but never their own query's;
+a repeated query is asked once, and one of the same vec_id but another vector is a query of its own.
 """
 
 from __future__ import annotations
@@ -63,13 +64,13 @@ def estimate(turned: np.ndarray, codes: np.ndarray, c: np.ndarray, factor: float
 
 def _search(top: int, factor: float):
     def one(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "of": [], "vec_id": [], "score": []}
         if len(queries) and len(index):
             dim = int(key[0])
             rot = rotation(code_bits(dim))
             q = np.frombuffer(b"".join(queries["vector"]), np.float64).reshape(-1, dim)
             x = np.frombuffer(b"".join(index["vector"]), np.float64).reshape(-1, dim)
-            qid, xid = queries["vec_id"].to_numpy(), index["vec_id"].to_numpy()
+            qid, of, xid = queries["vec_id"].to_numpy(), queries["of"].to_numpy(), index["vec_id"].to_numpy()
             qn, xn = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
             codes = np.frombuffer(b"".join(index["code"]), np.uint8).reshape(len(index), -1)
             turned = (q / qn[:, None]) @ rot[:dim]
@@ -84,9 +85,10 @@ def _search(top: int, factor: float):
                     score = (x[at] * q[a + i]).sum(1) / (xn[at] * qn[a + i])
                     best = np.lexsort((xid[at], -score))[:top]
                     out["query_id"] += [qid[a + i]] * len(best)
+                    out["of"] += [of[a + i]] * len(best)
                     out["vec_id"] += xid[at[best]].tolist()
                     out["score"] += score[best].tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return pd.DataFrame(out).astype({"query_id": "int64", "of": "int64", "vec_id": "int64", "score": "float64"})
 
     return one
 
@@ -96,18 +98,17 @@ def _index(batches):
         for dim, part in b.groupby("dim"):
             rot = rotation(code_bits(int(dim)))
             x = np.array(part["v"].tolist(), np.float64).reshape(len(part), int(dim))
+            x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])  # by powers of two, so that no square over- or underflows
             codes, c = encode(x / np.sqrt((x * x).sum(1))[:, None], rot)
             yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "dim": int(dim), "vector": [r.tobytes() for r in x], "code": [r.tobytes() for r in codes], "c": c})
 
 
 def index(vectors: DataFrame) -> DataFrame:
-    """(vec_id, dim, vector, code, c) of every usable vector."""
+    """(vec_id, dim, vector, code, c) of every usable vector, scaled by a power of two."""
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     v = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where((F.size("v") > 0) & finite)
-    # A norm whose square over- or underflows could not be divided by.
-    v = v.where((square > 1e-300) & (square < 1e300)).withColumn("dim", F.size("v"))
+    v = v.where(F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
     return v.mapInPandas(_index, "vec_id long, dim int, vector binary, code binary, c double")
 
 
@@ -117,11 +118,11 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, factor: floa
     is_query = F.pmod("vec_id", F.lit(every)) == 0
     n, nq = coded.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     shards, blocks = max(8, -(-n // SHARD_ROWS)), max(1, -(-nq // QUERY_BLOCK))
-    queries = coded.where(is_query).select("dim", "vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    queries = coded.where(is_query).select("dim", "vec_id", "vector").distinct().select("dim", "vec_id", "vector", F.xxhash64("dim", "vector").alias("of"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
     queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     dealt = coded.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)))
     dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     keys = ["dim", "block", "shard"]
-    found = queries.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(_search(top, factor), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = queries.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(_search(top, factor), "query_id long, of long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "of").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
