@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where none is set (tests, a laptop)."""
+    """``spark.checkpoint.dir``. Where none is set, a session on one machine (tests, a laptop) gets a temporary folder; on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trajspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="trajspark-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
