@@ -5,7 +5,8 @@ the depth of every call in this forest is found by pointer doubling, in as many
 logarithm of the longest chain, whatever order the messages came in, so (depth, turn, identifier)
 is a topological order. Calls on or behind a cycle never reach a root and are flagged. Arguments are
 parsed as JSON variants and checked against the schema of the tool's name. Each record is one line
-of canonical JSON: keys sorted, no blanks.
+of canonical JSON: keys sorted at every level, no blanks, equal numbers written alike (1.0 and 1e0 as 1,
+0.50 as 0.5), null members of arguments kept, null members of the record itself left out.
 
 DataFrame and SQL expressions only. One row a record: a conversation of any length is never
 gathered in one place.
@@ -60,6 +61,28 @@ def invalid(arguments: Column, name: Column, tools: Mapping[str, Schema]) -> Col
     return F.when(arguments.isNull(), F.lit("json")).otherwise(out)
 
 
+def _number(token: Column) -> Column:
+    """A JSON number in its one form: whole ones of up to 38 digits without point or exponent, others as the shortest double."""
+    whole = F.regexp_replace(token, "^-0$", "0")
+    wide = token.try_cast("double")
+    exact = token.try_cast("decimal(38,10)")
+    integral = F.when(wide == F.rint(wide), F.coalesce(F.when(exact == F.floor(exact), F.floor(exact).cast("string")), wide.try_cast("decimal(38,0)").cast("string")))
+    return F.when(~token.rlike("[.eE]"), whole).otherwise(F.coalesce(integral, F.when(F.abs(wide) < float("inf"), wide.cast("string")), token))
+
+
+def canonical(json: Column) -> Column:
+    """JSON text, already of sorted keys and without blanks, with its numbers in their one form.
+
+    Split at the quotes that open or close strings, every other part lies outside of them. Escaped
+    backslashes and quotes are set aside as control characters, which JSON text holds in escaped form only.
+    """
+    aside = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    outside = lambda part: F.array_join(F.transform(F.regexp_extract_all(part, F.lit("(-?[0-9][0-9.eE+-]*|[^0-9-]+|-)"), 1), lambda t: F.when(t.rlike("^-?[0-9]"), _number(t)).otherwise(t)), "")
+    parts = F.transform(F.split(aside, '"', -1), lambda part, i: F.when((i % 2 == 0) & part.rlike("[0-9]"), outside(part)).otherwise(part))
+    back = F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    return F.when(json.rlike("[0-9][.eE]|-0"), back).otherwise(json)
+
+
 def depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth) of unique calls with a parent_id: 0 for roots, null on or behind a cycle.
 
@@ -141,7 +164,7 @@ def link(calls: DataFrame, results: DataFrame, tools: Mapping[str, Schema], ever
         F.col("r.turn").alias("result_turn"),
         F.when(F.col("is_call"), F.col("depth")).otherwise(0).cast("long").alias("depth"),
         status.alias("status"),
-        F.to_json(record).alias("json"),
+        canonical(F.to_json(record)).alias("json"),
     )
 
 

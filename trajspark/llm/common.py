@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, shared_folder  # noqa: F401  (for the operators beside this file)
+
 #: A word is a maximal run of anything but these six ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where none is set (tests, a laptop)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trajspark-"))
-    return context.getCheckpointDir()
+def texts(column: pa.Array, rows: int = 64) -> Iterator[str | None]:
+    """The values of a column of texts, few at a time: Spark bounds a batch by its bytes, and this what Python holds of it."""
+    for a in range(0, len(column), rows):
+        yield from column.slice(a, rows).to_pylist()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget its lineage. A lost executor costs nothing: readers open the files again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__``, ... that no column bears."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of whole documents may hold in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def own(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by their names, whatever is in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +66,3 @@ def distributed_rank(df: DataFrame, keys: list[str], shards: list[str], order: l
     offsets = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
     return local.join(offsets, by).withColumn(name, F.col("_before") + F.col("_local")).drop("_before", "_local")
-
-
-def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in columns])

@@ -4,9 +4,11 @@ Texts are lower-cased; each maximal run of letters, between blanks, gives its n-
 characters, hashed into ``BUCKETS``. Document frequencies are counted over every document of the
 learning fold; the regression is fitted on a bounded sample by follow-the-regularised-leader with
 L1 and L2 penalties (the L1 part keeps it sparse), and its logits are divided by a temperature that
-minimises the log loss of a part of the sample set aside.
+minimises the log loss of a part of the sample set aside. Every language of the learning fold is
+learned: the sample takes at least ``LEAST_TEXTS`` of each, however long they are. The model is
+held and sent as its non-zero weights; the fit's state grows with the number of languages.
 
-Defined results. Null texts and texts without a letter are 'und' with score 0. Null languages are
+Defined results. A very long text is read whole, a stretch at a time. Null texts and texts without a letter are 'und' with score 0. Null languages are
 never learned. With one language to learn, it is predicted with score 1; with none, 'und' with score 0.
 Ties go to the language that sorts first. Repeated rows are predicted alike; an empty table gives
 an empty result; extra columns are not read.
@@ -22,15 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import texts
 from .toxicity import held_out
 
 BUCKETS = 1 << 14
 #: Documents of each language that the fit may use, and characters of all of them; bounds the driver's work.
 SAMPLE = 800
 SAMPLE_CHARS = 12_000_000
-#: Languages that the fit tells apart; the most frequent ones, if there should be more.
-LANGUAGES = 256
+LEAST_TEXTS = 3
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-3, 1e-3
 UND = "und"
@@ -49,19 +50,26 @@ def _letters(codes: np.ndarray) -> np.ndarray:
 
 
 def counts(text: str | None) -> np.ndarray | None:
-    """How often each bucket occurs in the whole text, or None for a text without a letter."""
+    """How often each bucket occurs in the whole text, or None for a text without a letter.
+
+    Stretches overlap by two code points, and an n-gram counts where its last code point is new, so
+    that words and n-grams over the edge of a stretch count once, and as in one piece.
+    """
     total, some = np.zeros(BUCKETS, np.int64), False
     text = text or ""
+    before = np.array([32, 32], np.uint64)
     for a in range(0, len(text), _STEP):
         c = np.frombuffer(text[a : a + _STEP].lower().encode("utf-32-le", "replace"), np.uint32)
         is_letter = _letters(c)
-        if not is_letter.any():
-            continue
-        some = True
-        c = np.concatenate(([32], np.where(is_letter, c, 32), [32])).astype(np.uint64)
+        some = some or bool(is_letter.any())
+        c = np.where(is_letter, c, 32).astype(np.uint64)
+        if a + _STEP >= len(text):
+            c = np.append(c, np.uint64(32))
+        c = np.concatenate((before, c))
+        before = c[-2:]
         first = c * np.uint64(2_654_435_761)
-        one = first[c != 32]
-        two = (first[:-1] ^ (c[1:] * np.uint64(40_503_001)))[(c[:-1] != 32) | (c[1:] != 32)]
+        one = first[2:][c[2:] != 32]
+        two = (first[1:-1] ^ (c[2:] * np.uint64(40_503_001)))[(c[1:-1] != 32) | (c[2:] != 32)]
         three = (first[:-2] ^ (c[1:-1] * np.uint64(40_503_001)) ^ (c[2:] * np.uint64(97_531_357)))[c[1:-1] != 32]
         for k, h in enumerate((one, two, three)):
             h = (h + np.uint64(k * 7_919)) * np.uint64(0x9E3779B97F4A7C15)
@@ -85,6 +93,17 @@ class Model:
     temperature: float = 1.0
     shape: tuple = field(default=(BUCKETS,))
 
+    def __getstate__(self) -> dict:
+        """Sent as rows of non-zero weights."""
+        at = np.flatnonzero(self.weights)
+        return {**self.__dict__, "weights": (self.weights.shape, at, self.weights.ravel()[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, at, values = state["weights"]
+        w = np.zeros(shape)
+        w.ravel()[at] = values
+        self.__dict__.update(state, weights=w)
+
     def logits(self, n: np.ndarray) -> np.ndarray:
         at, v = vector(n, self.idf)
         return v @ self.weights[at] + self.bias
@@ -141,12 +160,11 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Over all documents of the learning fold: in how many each bucket occurs, and how many have letters. One array a task."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS + 1, np.int64), 0
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in texts(b.column(0)):
                 c = counts(t)
                 if c is not None:
                     df[:-1] += c > 0
@@ -163,35 +181,38 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:-1], int(df[-1])
 
 
-def sample(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """Whole texts and languages: of each language about ``per_language`` documents of smallest hash."""
+def sample(docs: DataFrame, per_language: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
+    """Whole texts and languages: of each language about ``per_language`` documents of smallest hash, while its share
+    of ``chars`` lasts, but the first ``LEAST_TEXTS`` in any case."""
     learn = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    cut_at = None
-    u = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    for lang, n in sorted(sizes.items()):
-        cut_at = (F.when if cut_at is None else cut_at.when)(F.col("lang") == lang, F.lit(min(1.0, per_language / n)))
-    if cut_at is None:
+    sizes = [(r["lang"], min(1.0, per_language / r["count"])) for r in learn.groupBy("lang").count().collect()]  # one row a language
+    if not sizes:
         return [], []
-    texts, langs, used = [], [], dict.fromkeys(sizes, 0)
+    share = chars // len(sizes)
+    upto = docs.sparkSession.createDataFrame(sizes, "lang string, upto double")
+    # Texts of null or repeated ids are told apart by their length.
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.octet_length("text")), 11) / float(1 << 53)
+    picked = learn.select("doc_id", "lang", "text").join(F.broadcast(upto), "lang").where(u <= F.col("upto")).drop("upto")
     # The exchange lets the whole scan run in parallel, and holds the sample alone; its order is the same in every run.
-    picked = learn.where(u <= cut_at).select("doc_id", "lang", "text").repartition(16, "doc_id").sortWithinPartitions("doc_id", "lang", "text")
+    picked = picked.repartition(16, "lang", "doc_id").sortWithinPartitions(F.octet_length("text"), "doc_id", "lang", "text")
+    got, langs, used, n = [], [], {}, {}
     for r in picked.toLocalIterator():
-        size = len(r["text"] or "")
-        if used[r["lang"]] + size <= SAMPLE_CHARS // len(sizes):
-            used[r["lang"]] += size
-            texts.append(r["text"] or "")
-            langs.append(r["lang"])
-    return texts, langs
+        size, lang = len(r["text"] or ""), r["lang"]
+        if n.get(lang, 0) < LEAST_TEXTS or used.get(lang, 0) + size <= share:
+            n[lang] = n.get(lang, 0) + 1
+            used[lang] = used.get(lang, 0) + size
+            got.append(r["text"] or "")
+            langs.append(lang)
+    return got, langs
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE) -> Model:
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 1
-    texts, langs = sample(docs, per_language)
+    chosen, langs = sample(docs, per_language)
     names = sorted(set(langs))
     rows, y = [], []
-    for t, lang in zip(texts, langs, strict=True):
+    for t, lang in zip(chosen, langs, strict=True):
         c = counts(t)
         if c is not None:
             rows.append(vector(c, idf))
@@ -212,13 +233,11 @@ def train(docs: DataFrame, per_language: int = SAMPLE) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the non-zero ones of BUCKETS x languages weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.predict(t) for t in b.column(2).to_pylist()]
+            found = [shared.value.predict(t) for t in texts(b.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"]
             )

@@ -10,9 +10,11 @@ DataFrame expressions only. Texts are shuffled twice (counting, and joining what
 documents); a very common chunk is pre-aggregated before the shuffle, and the join on it has one
 row for each chunk on the other side, so that adaptive execution can split it.
 
+Removed chunks are found by their place in the document, so that work grows with the text, not with its square.
+
 Defined results. Null text stays null, with zero counts; an empty text is one empty line. Rows that
 share a doc_id are one document. A null doc_id sorts before all others. A document whose every chunk
-goes becomes ''. Other columns pass through unchanged; an empty table gives an empty one.
+goes becomes ''. Other columns pass through unchanged, but for one named like a count; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, own
 
 WINDOW = 2
 BASE = 31
@@ -60,38 +62,42 @@ def _id() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(_NO_ID))
 
 
+COUNTS = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
+
+
+def _lines_in(chunks: Column) -> Column:
+    return F.aggregate(chunks, F.lit(0).cast("long"), lambda s, c: s + F.length(c) - F.length(F.translate(c, "\n", "")) + 1)
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with cleaned text, and n_lines, n_chunks, n_removed_chunks, n_removed_lines."""
     # The outer form: for a plain explode, a filter on the size of the chunks would be pushed to the scan, and inlined there.
-    rows = with_chunks(docs.select("doc_id", "text")).select(_id().alias("_id"), F.explode_outer("_chunks").alias("chunk"))
+    rows = with_chunks(docs.select("doc_id", "text")).select(_id().alias("id"), F.posexplode_outer("_chunks").alias("k", "chunk"))
     rows = rows.where(_word_lines(F.col("chunk")) >= LEAST_LINES).withColumn("h", F.xxhash64("chunk"))
-    firsts = rows.groupBy("h", "chunk").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    narrow = rows.select("_id", "h").distinct()
-    hits = narrow.join(firsts, "h").groupBy("_id").agg(F.collect_list(F.struct("chunk", "first")).alias("_hits"))
-    d = with_chunks(docs.withColumn("_id", _id()).join(hits, "_id", "left"))  # cut into chunks behind the shuffle, which so carries one copy of the text
-    gone = F.transform(
-        "_chunks",
-        lambda c, k: F.exists(F.col("_hits"), lambda x: (x["chunk"] == c) & ((x["first"] != F.col("_id")) | (F.array_position("_chunks", c) != k + 1))),
-    )
-    d = d.withColumn("_gone", F.when(F.col("_hits").isNull(), F.transform("_chunks", lambda c: F.lit(False))).otherwise(gone))
-    kept = F.filter("_chunks", lambda c, k: ~F.get("_gone", k))
-    out = F.filter("_chunks", lambda c, k: F.get("_gone", k))
-    count = lambda a: F.coalesce(F.aggregate(a, F.lit(0).cast("long"), lambda s, c: s + F.size(F.split(c, "\n"))), F.lit(0).cast("long"))
+    firsts = rows.groupBy("h", "chunk").agg(F.min(F.struct("id", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    hits = rows.select("id", "k", "h").join(firsts, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "first", "chunk"))).alias("hits"))
+    boxed = docs.select(F.struct(*own(docs.drop("text"))).alias("row"), _id().alias("id"), "text")
+    d = with_chunks(boxed.join(hits, "id", "left"))  # cut into chunks behind the shuffle, which so carries one copy of the text
+    here = lambda x: (F.get("_chunks", x["k"]) == x["chunk"]) & ((x["first"]["id"] != F.col("id")) | (x["first"]["k"] != x["k"]))
+    d = d.withColumn("gone", F.coalesce(F.transform(F.filter("hits", here), lambda x: x["k"]), F.array().cast("array<int>")))
+    # What stays are the stretches between the places of what goes.
+    before, after = F.concat(F.array(F.lit(-1)), F.col("gone")), F.concat(F.col("gone"), F.array(F.size("_chunks")))
+    kept = F.flatten(F.zip_with(before, after, lambda a, b: F.slice("_chunks", a + 2, F.greatest(b - a - 1, F.lit(0)))))
+    d = d.withColumns({"text": F.when(F.size("gone") > 0, F.array_join(kept, "\n")).otherwise(F.col("text")), "out": F.transform("gone", lambda k: F.get("_chunks", k))})
+    long = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     d = d.withColumns(
         {
-            "_text": F.when(F.exists("_gone", lambda g: g), F.array_join(kept, "\n")).otherwise(F.col("text")),
-            "n_lines": count(F.col("_chunks")),
-            "n_chunks": F.coalesce(F.size("_chunks"), F.lit(0)).cast("long"),
-            "n_removed_chunks": F.coalesce(F.size(out), F.lit(0)).cast("long"),
-            "n_removed_lines": count(out),
+            "n_lines": long(_lines_in(F.col("_chunks"))),
+            "n_chunks": long(F.when(F.col("_chunks").isNotNull(), F.size("_chunks"))),
+            "n_removed_chunks": long(F.size("gone")),
+            "n_removed_lines": long(_lines_in(F.col("out"))),
         }
     )
-    d = d.withColumn("n_chunks", F.greatest("n_chunks", F.lit(0).cast("long"))).withColumn("n_removed_chunks", F.greatest("n_removed_chunks", F.lit(0).cast("long")))
     # A caller's filter on the new columns must not be pushed below them: nested lambdas would be inlined into
     # one another and evaluated for every element. The partition's number, not deterministic, holds it here.
     d = d.withColumn("_here", F.spark_partition_id()).where("_here >= 0")
-    columns = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")]
-    return d.select(*columns, "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
+    columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in COUNTS]
+    return d.select(*columns, *COUNTS)
 
 
 def oracle() -> str:

@@ -12,7 +12,8 @@ of a hash of doc_id. Numbers inside a bucket are counted through shards, never i
 
 Defined results. A null or empty text, or one without a word, is one piece of length 0 in the first
 bucket. Repeated rows are packed as often as they occur. A boundary above the budget gives batches
-of one piece. Extra columns are dropped; an empty table gives an empty result.
+of one piece. A very long text becomes as many pieces as it needs. Away from files, rows of equal hash and
+doc_id, a null one too, may come in any order among themselves. Extra columns are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def words_of(text: Column) -> Column:
 def _in_order(docs: DataFrame, length: Column) -> tuple[DataFrame, list[str], list[str]]:
     """(doc_id, n) with shard and order columns of the input order."""
     try:
-        at = docs.select("doc_id", length.alias("n"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        at = docs.select("doc_id", length.alias("n"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
         return at.withColumn("_part", F.floor(F.col("_row") / 8_192)), ["_file", "_part"], ["_row"]
     except AnalysisException:
         bits = shard_bits(docs.count())

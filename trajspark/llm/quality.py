@@ -6,8 +6,8 @@ two sketches merge by adding counts, in any order, and give the same quantiles h
 partitioned. Sketches are built once per (lang, source); those of languages and of the corpus are
 sums of them.
 
-Defined results. Null text counts as an empty text (all counts 0, ``base_failed``). Null lang or
-source is a group of its own. Ties and repeated rows count as often as they occur. An empty table
+Defined results. Null text counts as an empty text (all counts 0, ``base_failed``). A very long text is
+measured whole, in time that grows with it by n log n at most. Null lang or source is a group of its own. Ties and repeated rows count as often as they occur. An empty table
 gives an empty result. Columns of the input other than doc_id, text, lang and source are ignored.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, key_of
+from .common import BLANKS, cut, key_of, own, unused
 
 SYMBOLS = "#*$%&|<>"
 #: Measures in integer parts: (name, numerator, denominator, parts).
@@ -170,9 +170,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns; a null doc_id is an id like any other."""
-    good = quality_rules(docs).where("kept").select(key_of(F.col("doc_id")).alias("_k"), F.col("text_hash").alias("_h"))
-    keyed = docs.withColumns({"_k": key_of(F.col("doc_id")), "_h": F.xxhash64("text")})
-    return keyed.join(good, ["_k", "_h"], "left_semi").select(*docs.columns)
+    key, text = unused(docs.columns, "key"), unused(docs.columns, "text_hash")
+    good = quality_rules(docs).where("kept").select(key_of(F.col("doc_id")).alias(key), F.col("text_hash").alias(text))
+    keyed = docs.withColumns({key: key_of(F.col("doc_id")), text: F.xxhash64("text")})
+    return keyed.join(good, [key, text], "left_semi").select(*own(docs))
 
 
 def oracle() -> str:

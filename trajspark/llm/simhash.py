@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from ..operators.graph import components
+from .common import cut, own, shard_bits, texts, unused
 
 SHINGLE = 3
 SEED = 42
@@ -33,6 +34,8 @@ MOST_BITS = 3
 SEGMENT_BITS = 32
 #: Distinct fingerprints that may share a segment before its buckets are split further.
 HOT = 512
+#: Distinct fingerprints in a partition before they are exploded.
+_DEALT = 5_000
 _NO_ID = -(2**63)
 #: Shingles hashed at a time, so that a very long text needs no more memory than this many.
 _STEP = 1 << 16
@@ -60,16 +63,16 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        f = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f)], ["doc_id", "fp"])
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, hash, fp) of every row: a hash of the text, and the fingerprint's bits as a signed long."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = np.array([fingerprint(t) for t in texts(batch.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f)], ["doc_id", "hash", "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 def _variants(value: Column, bits: int) -> Column:
@@ -125,38 +128,40 @@ def links(distinct: DataFrame) -> DataFrame:
     return calm.unionByName(_meet(fine, [*keys, "half", "pos2", "key2"])).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each connected component, for nodes that have an edge."""
-    now = cut(edges.select("u", "v"))
-    seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        seen = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+def _owners(prints: DataFrame) -> DataFrame:
+    """(fp, component_id) of every distinct fingerprint; a null doc_id counts as ``_NO_ID``."""
+    nodes = prints.groupBy("fp").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(_NO_ID))).alias("least"))
+    # Links explode each fingerprint 66-fold: dealt out by their number, not by their bytes, which adaptive execution would put in a few tasks.
+    nodes = cut(nodes)
+    dealt = nodes.select("fp").repartition(1 << shard_bits(nodes.count(), _DEALT, 3), "fp")
+    roots = components(links(dealt)).withColumnsRenamed({"node": "fp"})
+    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
     prints = cut(fingerprints(docs))
-    nodes = prints.groupBy("fp").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(_NO_ID))).alias("least"))
-    roots = components(links(nodes.select("fp"))).withColumnsRenamed({"node": "fp"})
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    owner = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(owner, "fp").select("doc_id", hexed.alias("fingerprint"), F.when(F.col("component_id") != _NO_ID, F.col("component_id")).alias("component_id"))
+    return prints.join(_owners(prints), "fp").select("doc_id", hexed.alias("fingerprint"), F.when(F.col("component_id") != _NO_ID, F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, with its own columns."""
-    found = near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi").select(*docs.columns)
+    """One row of each component, with its own columns: that of smallest doc_id (null first), then of smallest text hash.
+
+    Of rows equal in both, which differ in their other columns at most, any one.
+    """
+    prints = cut(fingerprints(docs))
+    keyed = prints.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "hash", "fp").groupBy("id", "hash", "fp").agg(F.count(F.lit(1)).alias("n"))
+    first = keyed.join(_owners(prints), "fp").groupBy("component_id").agg(F.min(F.struct("id", "hash", "n")).alias("f"))
+    key, text, times = (unused(docs.columns, c) for c in ("id", "hash", "n"))
+    first = cut(first.select(F.col("f.id").alias(key), F.col("f.hash").alias(text), F.col("f.n").alias(times)))
+    rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), text: F.xxhash64("text")})
+    kept = rows.join(first.where(F.col(times) == 1), [key, text], "left_semi").select(*own(docs))
+    again = first.where(F.col(times) > 1)
+    if again.isEmpty():
+        return kept
+    # Repeats are folded by an aggregate, before the shuffle and after it: no task sorts or holds a group.
+    once = rows.join(again, [key, text], "left_semi").groupBy(key, text).agg(F.any_value(F.struct(*own(docs))).alias("row"))
+    return kept.unionByName(once.select("row.*"))

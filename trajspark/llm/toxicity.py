@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import texts as texts_of
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -166,7 +166,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple
     texts, found, used = [], [], [0, 0]
     for r in joined.orderBy("o", "doc_id").toLocalIterator():
         n = len(r["text"] or "")
-        if used[r["y"]] + n > SAMPLE_CHARS or len(texts) >= 4 * per_class:
+        if used[r["y"]] + n > SAMPLE_CHARS:
             continue
         used[r["y"]] += n
         texts.append(r["text"] or "")
@@ -185,13 +185,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
         for b in batches:
-            s = np.array([scorer(t) for t in b.column(2).to_pylist()], np.float64)
+            s = np.array([scorer(t) for t in texts_of(b.column(2))], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
