@@ -2,6 +2,11 @@
 
 Stages get (spark, docs, sf_dir); their results are written as Parquet and read again as the next
 one's docs. All but the last return the columns of ``documents``.
+
+Defined results. A null, empty or very short text fails the quality rules, so that nothing of it goes on;
+an empty table passes through all stages as an empty one. Of repeated rows one stays. Null ids, languages
+and sources are values like any other. Very long texts go through whole. Extra columns pass through all
+stages but the last, whatever their names, and are dropped there.
 """
 
 from __future__ import annotations
@@ -55,11 +60,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, with a Parquet table in the shared folder after each but the last."""
+    """All stages over ``documents``, with a Parquet table in the shared folder after each but the last.
+
+    A table is removed as soon as the next one stands; the last remains, as the result reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
-        docs = spark.read.parquet(f"{top}/{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(table := f"{top}/{k}-{name}")
+        if before:
+            _remove(spark, before)
+        docs, before = spark.read.parquet(table), table
     return STAGES[-1][1](spark, docs, sf_dir)

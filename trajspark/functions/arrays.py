@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` uses it, inside of lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def at(a: Column, i: Column) -> Column:
     """Element ``i`` from 0, or null beyond the ends."""
     return F.get(a, i.cast("int"))
@@ -15,31 +20,43 @@ def at(a: Column, i: Column) -> Column:
 
 def by_index(a: Column, n: int) -> Column:
     """``n`` values spread evenly over the array's index, linearly interpolated."""
-    last = F.size(a) - 1
-    step = (last / F.lit(float(max(n - 1, 1)))).cast("double")
 
-    def value(k: Column) -> Column:
-        p = F.least(k * step, last.cast("double"))
-        i = F.least(F.floor(p), last)
-        return at(a, i) + (at(a, F.least(i + 1, last)) - at(a, i)) * (p - i)
+    def values(a: Column) -> Column:
+        last = F.size(a) - 1
+        step = (last / F.lit(float(max(n - 1, 1)))).cast("double")
+
+        def value(k: Column) -> Column:
+            p = F.least(k * step, last.cast("double"))
+            i = F.least(F.floor(p), last)
+            return at(a, i) + (at(a, F.least(i + 1, last)) - at(a, i)) * (p - i)
 
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value))
+
+    return let(a, values)
 
 
 def by_domain(t: Column, a: Column, n: int) -> Column:
     """``n`` values at even steps of the ascending domain ``t``, linearly interpolated; the first of equal domain values counts."""
-    last = F.size(t) - 1
-    lo, hi = at(t, F.lit(0)), at(t, last)
 
-    def value(k: Column) -> Column:
-        x = F.when(k == n - 1, hi).otherwise(lo + (hi - lo) * k / F.lit(float(max(n - 1, 1))))
-        # Number of domain values up to x: the segment that holds it.
-        i = F.greatest(F.size(F.filter(t, lambda v: v <= x)) - 1, F.lit(0))
-        j = F.least(i + 1, last)
-        w = at(t, j) - at(t, i)
-        return at(a, i) + F.when(w > 0, (at(a, j) - at(a, i)) * (x - at(t, i)) / w).otherwise(0.0)
+    def values(both: Column) -> Column:
+        t, a = both["t"], both["a"]
+        last = F.size(t) - 1
+        lo, hi = at(t, F.lit(0)), at(t, last)
+
+        def value(k: Column) -> Column:
+            x = F.when(k == n - 1, hi).otherwise(lo + (hi - lo) * k / F.lit(float(max(n - 1, 1))))
+            # Number of domain values up to x: the segment that holds it.
+            return let(F.struct(x.alias("x"), F.greatest(F.size(F.filter(t, lambda v: v <= x)) - 1, F.lit(0)).alias("i")), placed)
+
+        def placed(p: Column) -> Column:
+            x, i = p["x"], p["i"]
+            j = F.least(i + 1, last)
+            w = at(t, j) - at(t, i)
+            return at(a, i) + F.when(w > 0, (at(a, j) - at(a, i)) * (x - at(t, i)) / w).otherwise(0.0)
 
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value))
+
+    return let(F.struct(t.alias("t"), a.alias("a")), values)
 
 
 def squared_gap(a: Column, b: Column) -> Column:
@@ -68,11 +85,20 @@ def point_weights(n: int, groups: Sequence[tuple[int, int, float]], dims: int =
     return [x for x in w for _ in range(dims)]
 
 
-def envelope_bound(a: Column, b: Column, radius: int) -> Column:
-    """Lower bound of the squared-cost warping distance of two equally long series: what ``a`` leaves of ``b``'s envelope."""
-    window = lambda i: F.slice(b, F.greatest(i - radius, F.lit(0)) + 1, F.lit(2 * radius + 1) - F.greatest(F.lit(radius) - i, F.lit(0)))
-    gaps = F.transform(a, lambda x, i: F.greatest(x - F.array_max(window(i)), F.array_min(window(i)) - x, F.lit(0.0)))
-    return F.when(F.size(a) == F.size(b), F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g))
+def envelope(b: Column, radius: int) -> Column:
+    """Least and greatest of each place's surroundings, as a struct of arrays (lo, hi)."""
+
+    def around(b: Column) -> Column:
+        window = lambda i: F.slice(b, F.greatest(i - radius, F.lit(0)) + 1, F.lit(2 * radius + 1) - F.greatest(F.lit(radius) - i, F.lit(0)))
+        return F.struct(F.transform(b, lambda x, i: F.array_min(window(i))).alias("lo"), F.transform(b, lambda x, i: F.array_max(window(i))).alias("hi"))
+
+    return let(b, around)
+
+
+def envelope_bound(a: Column, env: Column) -> Column:
+    """Lower bound of the squared-cost warping distance of two equally long series: what ``a`` leaves of the other's envelope."""
+    gaps = F.zip_with(a, F.arrays_zip(env["lo"].alias("lo"), env["hi"].alias("hi")), lambda x, e: F.greatest(x - e["hi"], e["lo"] - x, F.lit(0.0)))
+    return F.when(F.size(a) == F.size(env["lo"]), F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g))
 
 
 def to_energy(level: Column) -> Column:

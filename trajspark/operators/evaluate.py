@@ -4,19 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tiles
+from .ranks import ranked_rows
 
-def silhouette(distances: DataFrame, labels: DataFrame, keys: Sequence[str], unit: str, label: str) -> DataFrame:
-    """Mean silhouette of each group from a table of pairs (unit_a < unit_b, d); a unit alone in its cluster scores 0."""
+
+def silhouette(features: DataFrame, keys: Sequence[str], unit: str, label: str, vector: str = "v") -> DataFrame:
+    """Mean silhouette of each group's labelled feature vectors; a unit alone in its cluster scores 0.
+
+    Tiles give every unit's sums of distances to each cluster, never the table of pairs.
+    """
+    return silhouette_of(tiles.label_sums(features.where(F.col(label) >= 0), keys, unit, label, vector), keys, unit)
+
+
+def silhouette_of_edges(distances: DataFrame, labels: DataFrame, keys: Sequence[str], unit: str, label: str) -> DataFrame:
+    """The same from a table of pairs (unit_a < unit_b, d), precomputed by whatever measure."""
     a, b = f"{unit}_a", f"{unit}_b"
     lab = labels.where(F.col(label) >= 0).select(*keys, unit, label)
     both = distances.select(*keys, a, b, "d").unionByName(distances.select(*keys, F.col(b).alias(a), F.col(a).alias(b), "d"))
     la = lab.select(*keys, F.col(unit).alias(a), F.col(label).alias("la"))
     lb = lab.select(*keys, F.col(unit).alias(b), F.col(label).alias("lb"))
-    per = both.join(la, [*keys, a]).join(lb, [*keys, b]).groupBy(*keys, a, "la", "lb").agg(F.avg("d").alias("m"))
-    one = per.groupBy(*keys, a).agg(F.min(F.when(F.col("la") == F.col("lb"), F.col("m"))).alias("inner"), F.min(F.when(F.col("la") != F.col("lb"), F.col("m"))).alias("outer"))
+    sums = both.join(la, [*keys, a]).join(lb, [*keys, b]).groupBy(*keys, F.col(a).alias(unit), "la", "lb").agg(F.sum("d").alias("sum"), F.count("d").alias("n"))
+    return silhouette_of(sums, keys, unit)
+
+
+def silhouette_of(sums: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
+    """From (keys, unit, la, lb, sum, n): a unit's distances to the clusters ``lb``, itself of ``la``."""
+    per = sums.withColumn("m", F.col("sum") / F.col("n"))
+    one = per.groupBy(*keys, unit).agg(F.min(F.when(F.col("la") == F.col("lb"), F.col("m"))).alias("inner"), F.min(F.when(F.col("la") != F.col("lb"), F.col("m"))).alias("outer"))
     s = F.when(F.col("inner").isNull(), 0.0).when(F.greatest("inner", "outer") == 0, 0.0).otherwise((F.col("outer") - F.col("inner")) / F.greatest("inner", "outer"))
     return one.groupBy(*keys).agg(F.avg(F.when(F.col("outer").isNotNull(), s)).alias("silhouette"))
 
@@ -73,12 +90,10 @@ def adjusted_rand(pairs: DataFrame, keys: Sequence[str], a: str, b: str) -> Data
     return j.select(*keys, F.when(top == 0, 1.0).otherwise((F.col("both") - expected) / top).alias("ari"))
 
 
-def k_distance(distances: DataFrame, keys: Sequence[str], unit: str, k: int) -> DataFrame:
+def k_distance(features: DataFrame, keys: Sequence[str], unit: str, k: int, vector: str = "v") -> DataFrame:
     """Every unit's distance to its k-th nearest, with its place in the sorted curve of its group."""
-    a, b = f"{unit}_a", f"{unit}_b"
-    both = distances.select(*keys, a, "d", F.col(b).alias("_o")).unionByName(distances.select(*keys, F.col(b).alias(a), "d", F.col(a).alias("_o")))
-    kth = both.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, a).orderBy("d", "_o"))).where(F.col("_k") == k)
-    return kth.select(*keys, F.col(a).alias(unit), F.col("d").alias("kd")).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("kd", unit)))
+    kth = tiles.nearest(features, keys, unit, k, vector).where(F.col("k") == k).select(*keys, F.col("u").alias(unit), F.col("d").alias("kd"))
+    return ranked_rows(kth, keys, ["kd", unit], "place")
 
 
 def knee(curve: DataFrame, keys: Sequence[str]) -> DataFrame:

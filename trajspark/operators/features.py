@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import at
+from ..functions.arrays import at, let
 
 
 def matrix(points: DataFrame, keys: Sequence[str], unit: str, cols: Sequence[str], step: str = "step", n_points: int | None = None) -> DataFrame:
@@ -23,16 +23,26 @@ def matrix(points: DataFrame, keys: Sequence[str], unit: str, cols: Sequence[str
 
 
 def fill_gaps(a: Column) -> Column:
-    """Nulls and NaNs between known values by linear interpolation over the index, beyond them by the nearest."""
-    known = F.filter(F.transform(a, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"].isNotNull() & ~F.isnan(p["x"]))
+    """Nulls and NaNs between known values by linear interpolation over the index, beyond them by the nearest.
 
-    def value(x: Column, i: Column) -> Column:
-        before = F.try_element_at(F.filter(known, lambda p: p["i"] <= i), F.lit(-1))
-        after = F.get(F.filter(known, lambda p: p["i"] >= i), F.lit(0))
-        lerp = before["x"] + (after["x"] - before["x"]) * (i - before["i"]) / (after["i"] - before["i"])
-        return F.when(before.isNull(), after["x"]).when(after.isNull() | (after["i"] == before["i"]), before["x"]).otherwise(lerp)
+    In one walk: each known value gives the stretch up to the next one.
+    """
+
+    def stretches(known: Column) -> Column:
+        n = F.size(known)
+        first, last = F.get(known, F.lit(0)), F.get(known, n - 1)
+
+        def stretch(p: Column, q: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), q["i"] - p["i"] - 1), lambda k: F.when(k == 0, p["x"]).otherwise(p["x"] + (q["x"] - p["x"]) * k / (q["i"] - p["i"])))
+
+        inner = F.flatten(F.zip_with(F.slice(known, 1, F.greatest(n - 1, F.lit(0))), F.slice(known, 2, F.greatest(n - 1, F.lit(0))), stretch))
+        filled = F.concat(F.array_repeat(first["x"], first["i"]), inner, F.array_repeat(last["x"], last["n"] - last["i"]))
+        return F.when(n > 0, filled)
+
+    def known(a: Column) -> Column:
+        return F.filter(F.transform(a, lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"), F.size(a).alias("n"))), lambda p: p["x"].isNotNull() & ~F.isnan(p["x"]))
 
-    return F.when(F.size(known) > 0, F.transform(a, lambda x, i: value(x, i)))
+    return let(let(a, known), stretches)
 
 
 def _long(df: DataFrame, keys: Sequence[str], unit: str, v: str) -> DataFrame:

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import at, by_domain, by_index
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda p: p[name]
+
+
 def collect_tracks(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], meta: Sequence[str] = ()) -> DataFrame:
     """One row a track: an ordered array of each column, ``n``, and the first row's metadata."""
     s = F.array_sort(F.collect_list(F.struct(*order, *[c for c in cols if c not in order], *[c for c in meta if c not in order and c not in cols])))
     g = df.groupBy(*keys).agg(s.alias("_p"))
-    out = [F.col("_p").getField(c).alias(c) for c in cols]
+    # By a lambda, which is evaluated once: a field taken out of an array of structs would be inlined wherever it is used, and rebuilt there.
+    out = [F.transform("_p", _field(c)).alias(c) for c in cols]
     return g.select(*keys, F.size("_p").alias("n"), *out, *[F.get("_p", F.lit(0))[m].alias(m) for m in meta])
 
 
@@ -30,8 +35,9 @@ def resample(tracks: DataFrame, cols: Sequence[str], n: int, domain: str | None
     """Arrays of ``n`` points: evenly by index, or by an ascending domain (time, chainage), which is resampled too."""
     if domain is None:
         return tracks.withColumns({c: by_index(F.col(c).cast("array<double>"), n) for c in cols})
-    t = F.col(domain).cast("array<double>")
-    done = tracks.withColumns({f"_{c}": by_domain(t, F.col(c).cast("array<double>"), n) for c in cols})
+    typed = tracks.withColumns({c: F.col(c).cast("array<double>") for c in [domain, *cols]})
+    t = F.col(domain)
+    done = typed.withColumns({f"_{c}": by_domain(t, F.col(c), n) for c in cols})
     lo, hi = at(t, F.lit(0)), F.element_at(t, -1)
     done = done.withColumn(domain, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.when(k == n - 1, hi).otherwise(lo + (hi - lo) * k / float(max(n - 1, 1)))))
     return done.withColumns({c: F.col(f"_{c}") for c in cols}).drop(*[f"_{c}" for c in cols])

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.timeops import micros
+from . import ranks
+from .ranks import SLICE
 
 
 def segment_flights(
@@ -21,6 +24,7 @@ def segment_flights(
     jump_m: float = 1_000.0,
     min_points: int = 1,
     dense: bool = True,
+    slices: int | None = None,
 ) -> DataFrame:
     """Split each flow's points, in ``order``, into flights; adds ``flight_seq`` within the flow and, if ``dense``, ``flight_id``.
 
@@ -28,40 +32,66 @@ def segment_flights(
     ``gap_s``, the distance jumps by more than ``jump_m``, or the sign of the distance's change flips.
     After a boundary the direction is forgotten, so a flip cannot follow one at once. In a run of
     flips every other one therefore counts; which, depends on how the run began: at the last point
-    that is no flip or has another reason (the anchor). So boundaries need lags and one running
-    "last anchor", not a sequential scan. Points without a flow are dropped; null distances neither jump nor flip.
+    that is no flip or has another reason (the anchor). So boundaries need the two points before, and
+    one running "last anchor", not a sequential scan.
+
+    A flow may hold any share of the points: it is walked in slices of time, and each slice is given the
+    last two points, the anchor and the counts of those before it, one small row a slice. Runs jobs.
+    Points without a flow are dropped; null distances neither jump nor flip.
     """
-    w = Window.partitionBy(*flow).orderBy(*order)
-    p = points.where(" and ".join(f"`{c}` is not null" for c in flow))
-    p = p.withColumns({"_rn": F.row_number().over(w), "_t": micros(ts)})
-    hard = (F.col("_t") - F.lag("_t").over(w)) > int(gap_s * 1_000_000)
+    p = points.where(" and ".join(f"`{c}` is not null" for c in flow)).withColumn("_t", micros(ts))
+    carried = ["_t", *identity, *([distance] if distance else [])]
+    fields = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(carried)])
+    by = [*flow, SLICE]
+    inside = Window.partitionBy(*by).orderBy(*order)
+    walk = Window.partitionBy(*flow).orderBy(SLICE)
+
+    d = ranks.sliced(p, flow, order, slices)
+    # The last two points of the slices before: each slice has one at least, so that two slices hold them.
+    tail = d.withColumn("_back", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order]))).where("_back <= 2")
+    tails = tail.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("b"), fields.alias("f")))).alias("_tail"))
+    earlier = F.flatten(F.collect_list("_tail").over(walk.rowsBetween(-2, -1)))
+    tails = tails.select(*by, F.transform(earlier, lambda x: x["f"]).alias("_earlier"))
+    d = ranks.beside(d.withColumns({"_i": F.row_number().over(inside), "_one": F.lag(fields, 1).over(inside), "_two": F.lag(fields, 2).over(inside)}), tails, by)
+    last = lambda k: F.get("_earlier", F.size("_earlier") - k)
+    d = d.withColumns({"_one": F.coalesce("_one", last(1)), "_two": F.when(F.col("_i") == 1, last(2)).when(F.col("_i") == 2, last(1)).otherwise(F.col("_two"))})
+
+    one = {c: F.col(f"_one.f{i}") for i, c in enumerate(carried)}
+    two = {c: F.col(f"_two.f{i}") for i, c in enumerate(carried)}
+    hard = (F.col("_t") - one["_t"]) > int(gap_s * 1_000_000)
     for c in identity:
-        hard = hard | F.coalesce(F.col(c) != F.lag(c).over(w), F.lit(False))
+        hard = hard | F.coalesce(F.col(c) != one[c], F.lit(False))
     hard = F.coalesce(hard, F.lit(False))
     flip = F.lit(False)
     if distance:
-        step = F.col(distance) - F.lag(distance).over(w)
-        before = F.lag(distance).over(w) - F.lag(distance, 2).over(w)
+        step, past = F.col(distance) - one[distance], one[distance] - two[distance]
         hard = hard | F.coalesce(F.abs(step) > jump_m, F.lit(False))
-        flip = F.coalesce((step != 0) & (before != 0) & (F.signum(step) != F.signum(before)), F.lit(False))
-    p = p.withColumns({"_hard": hard, "_flip": flip})
-    begins = (F.col("_rn") == 1) | F.col("_hard")
-    anchor = F.last(F.when(begins | ~F.col("_flip"), F.struct("_rn", begins.alias("begins"))), ignorenulls=True).over(w)
-    p = p.withColumn("_anchor", anchor)
+        flip = F.coalesce((step != 0) & (past != 0) & (F.signum(step) != F.signum(past)), F.lit(False))
+    begins = F.col("_one").isNull() | hard
+    d = cut(d.withColumns({"_begins": begins, "_flip": flip}).drop("_one", "_two", "_earlier"))
+
+    # Places within the flow, and the last anchor of the slices before.
+    d = ranks.beside(d, ranks.before(d, flow, {"_before": F.count(F.lit(1))}), by)
+    d = d.withColumn("_rn", F.col("_i") + F.col("_before")).drop("_before")
+    own = F.when(F.col("_begins") | ~F.col("_flip"), F.struct("_rn", "_begins"))
+    ends = d.groupBy(*by).agg(F.max(own).alias("_last"))
+    ends = ends.select(*by, F.last("_last", ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, -1)).alias("_past"))
+    d = ranks.beside(d.withColumn("_anchor", F.last(own, ignorenulls=True).over(inside)), ends, by)
+    d = d.withColumn("_anchor", F.coalesce("_anchor", "_past"))
     odd = (F.col("_rn") - F.col("_anchor._rn")) % 2 == 1
-    p = p.withColumn("_start", F.col("_anchor.begins") != odd)
-    p = p.withColumn("flight_seq", F.sum(F.col("_start").cast("long")).over(w))
-    p = p.drop("_rn", "_t", "_hard", "_flip", "_anchor", "_start")
+    d = d.withColumn("_start", (F.col("_anchor._begins") != odd).cast("long")).drop("_past", "_anchor", "_begins", "_flip", "_rn", "_i", "_t")
+    d = ranks.beside(d, ranks.before(d, flow, {"_before": F.sum("_start")}), by)
+    d = d.withColumn("flight_seq", F.sum("_start").over(inside) + F.col("_before")).drop("_start", "_before", SLICE)
     if min_points > 1:
-        p = p.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*flow, "flight_seq"))).where(F.col("_n") >= min_points).drop("_n")
-    return renumber(p, [*flow, "flight_seq"], "flight_id") if dense else p
+        n = d.groupBy(*flow, "flight_seq").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points).drop("_n")
+        d = d.join(n, [*flow, "flight_seq"], "left_semi")
+    return renumber(d, [*flow, "flight_seq"], "flight_id") if dense else d
 
 
 def renumber(df: DataFrame, keys: Sequence[str], name: str, start: int = 0) -> DataFrame:
-    """Dense numbers of the sorted distinct keys, joined back: only the key table is ever in one task."""
-    ids = df.select(*keys).distinct()
-    ids = ids.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("long") - 1 + start)
-    return df.join(ids, list(keys))
+    """Dense numbers of the sorted distinct keys, joined back."""
+    ids = ranks.ranked_rows(df.select(*keys).distinct(), [], list(keys), name)
+    return df.join(ids.withColumn(name, F.col(name) - 1 + start), list(keys))
 
 
 def limit_per_flow(df: DataFrame, flow: Sequence[str], flight: str, n: int) -> DataFrame:

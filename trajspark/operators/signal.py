@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
+
 
 def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], width: int, how: str = "mean", suffix: str = "") -> DataFrame:
     """Centred mean or median of ``width`` rows, fewer at the ends; an even window reaches further back."""
@@ -20,11 +22,28 @@ def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequ
     return d.withColumns({c + suffix: middle(F.col(f"_f_{c}")) for c in cols}).drop(*[f"_f_{c}" for c in cols])
 
 
-def ewm(a: Column, span: int) -> Column:
-    """Exponentially weighted array, unadjusted: y0 = x0, y = (1 - k) y + k x with k = 2 / (max(span, 2) + 1)."""
+def ewm(a: Column, span: int, chunk: int = 64) -> Column:
+    """Exponentially weighted array, unadjusted: y0 = x0, y = (1 - k) y + k x with k = 2 / (max(span, 2) + 1).
+
+    Walked in chunks, as every step of a fold copies what it has gathered: a step copies its chunk, and only
+    the end of a chunk the list of chunks.
+    """
     k = 2.0 / (max(span, 2) + 1)
-    start = F.array().cast("array<double>")
-    return F.aggregate(a, start, lambda acc, x: F.concat(acc, F.array(F.coalesce((1 - k) * F.get(acc, F.size(acc) - 1) + k * x, x))))
+
+    def walk(a: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return let(F.coalesce((1 - k) * acc["last"] + k * x, x), lambda y: F.struct(F.concat(acc["out"], F.array(y)).alias("out"), y.alias("last")))
+
+        def part(acc: Column, c: Column) -> Column:
+            start = F.struct(F.array().cast("array<double>").alias("out"), acc["last"].alias("last"))
+            done = F.aggregate(F.slice(a, c * chunk + 1, F.lit(chunk)), start, step)
+            return let(done, lambda d: F.struct(F.concat(acc["out"], F.array(d["out"])).alias("out"), d["last"].alias("last")))
+
+        none = F.struct(F.array().cast("array<array<double>>").alias("out"), F.lit(None).cast("double").alias("last"))
+        chunks = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.floor((F.size(a) - 1) / chunk).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.when(a.isNotNull(), F.flatten(F.aggregate(chunks, none, part, lambda acc: acc["out"])))
+
+    return let(a, walk)
 
 
 def savgol_rows(width: int, degree: int) -> np.ndarray:
@@ -37,8 +56,7 @@ def savgol_rows(width: int, degree: int) -> np.ndarray:
 def savgol(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], width: int = 7, degree: int = 2, suffix: str = "") -> DataFrame:
     """Savitzky-Golay: inner points by their centred window, the ends by the polynomial of the first and last whole window.
 
-    A track shorter than ``width``, or a width below 3, is left as it is; an even width grows by one (a track
-    of just the even width, too short then, is fitted over all its points).
+    An even width grows by one. A track shorter than that, or a width below 3, is left as it is.
     """
     if width < 3:
         return df.withColumns({c + suffix: F.col(c) for c in cols}) if suffix else df
@@ -56,7 +74,7 @@ def savgol(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Seque
             head = sum((float(rows[r, k]) * F.lag(c, r - k).over(w) for k in range(odd)), F.lit(0.0))
             tail = sum((float(rows[odd - 1 - r, k]) * F.lag(c, odd - 1 - r - k).over(w) for k in range(odd)), F.lit(0.0))
             out = out.when(F.col("_i") == r, head).when(F.col("_i") == F.col("_n") - 1 - r, tail)
-        return F.when((F.col("_n") < width) | (F.col("_n") < odd), F.col(c)).otherwise(out)
+        return F.when(F.col("_n") < odd, F.col(c)).otherwise(out)
 
     return d.withColumns({c + suffix: value(c) for c in cols}).drop("_i", "_n")
 

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.timeops import micros
+from . import ranks
 
 
 def counts(df: DataFrame, keys: Sequence[str], unit: str | None = None, keep_null: bool = False) -> DataFrame:
@@ -55,10 +57,9 @@ def deltas(df: DataFrame, keys: Sequence[str], ts: str, over_s: Sequence[float]
     """Summary of the time between a group's consecutive samples, over all groups."""
     w = Window.partitionBy(*keys).orderBy(ts, *tie)
     d = df.select(((micros(ts) - F.lag(micros(ts)).over(w)) / 1_000_000).alias("d")).where("d >= 0")
-    return d.agg(
-        F.count("d").alias("n"), F.avg("d").alias("mean"), *[F.percentile("d", F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.99)], F.max("d").alias("max"),
-        *[(100 * F.count_if(F.col("d") > s) / F.count("d")).alias(f"over_{int(s)}s") for s in over_s],
-    )
+    sums = d.agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.max("d").alias("max"), *[(100 * F.count_if(F.col("d") > s) / F.count("d")).alias(f"over_{int(s)}s") for s in over_s])
+    found = sums.join(ranks.quantiles(d, [], "d", {f"p{round(q * 100)}": q for q in (0.5, 0.9, 0.99)}), how="left")  # one row each
+    return found.select("n", "mean", "p50", "p90", "p99", "max", *[f"over_{int(s)}s" for s in over_s])
 
 
 def robust_outliers(df: DataFrame, keys: Sequence[str], cols: Sequence[str], k: float = 3.0) -> DataFrame:
@@ -78,17 +79,13 @@ def endpoints(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Se
     return df.groupBy(*keys).agg(*[F.min_by(c, o).alias(f"first_{c}") for c in cols], *[F.max_by(c, o).alias(f"last_{c}") for c in cols])
 
 
-def average_rank(col: str, keys: Sequence[str]) -> Column:
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(col)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, col)) - 1) / 2
-
-
 def correlations(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Pearson and Spearman (average ranks) of each group; null with fewer than 3 rows or 2 distinct values."""
-    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    d = d.withColumns({"_ra": average_rank(a, keys), "_rb": average_rank(b, keys)})
-    ok = (F.count(F.lit(1)) >= 3) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(ok, F.corr(a, b)).alias("pearson"), F.when(ok, F.corr("_ra", "_rb")).alias("spearman"))
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    d = cut(d)  # three times read
+    d = ranks.average_ranks(ranks.average_ranks(d, keys, "_a", "_ra"), keys, "_b", "_rb")
+    ok = (F.count(F.lit(1)) >= 3) & (F.min("_a") < F.max("_a")) & (F.min("_b") < F.max("_b"))
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(ok, F.corr("_a", "_b")).alias("pearson"), F.when(ok, F.corr("_ra", "_rb")).alias("spearman"))
 
 
 def z_score(col: str) -> Column:
@@ -112,9 +109,8 @@ def histogram(df: DataFrame, keys: Sequence[str], col: str, lo: float, hi: float
 
 def ecdf(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     """Share of rows up to each distinct value."""
-    g = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys)
-    return g.select(*keys, col, (F.sum("n").over(w.orderBy(col)) / F.sum("n").over(w)).alias("share"))
+    v = ranks.counted_values(df, keys, col)
+    return v.select(*keys, col, ((F.col("less") + F.col("n")) / F.col("total")).alias("share"))
 
 
 def signature(labels: DataFrame, keys: Sequence[str], cluster: str) -> DataFrame:
@@ -128,7 +124,8 @@ def signature(labels: DataFrame, keys: Sequence[str], cluster: str) -> DataFrame
 
 def units(df: DataFrame, speed: str, altitude: str) -> DataFrame:
     """Units guessed from high quantiles: knots over 350, feet over 20,000."""
-    return df.agg(F.when(F.percentile(speed, F.lit(0.99)) > 350, "kt").otherwise("m/s").alias("speed_unit"), F.when(F.percentile(altitude, F.lit(0.95)) > 20_000, "ft").otherwise("m").alias("altitude_unit"))
+    fast, high = ranks.quantiles(df, [], speed, {"_fast": 0.99}), ranks.quantiles(df, [], altitude, {"_high": 0.95})
+    return fast.crossJoin(high).select(F.when(F.col("_fast") > 350, "kt").otherwise("m/s").alias("speed_unit"), F.when(F.col("_high") > 20_000, "ft").otherwise("m").alias("altitude_unit"))  # one row each
 
 
 def points_per_flight(df: DataFrame, flight: str) -> DataFrame:

@@ -12,7 +12,7 @@ import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cluster, evaluate, joins
+from ..operators import cluster, evaluate
 from ..operators.stats import weighted_mean
 
 
@@ -71,14 +71,10 @@ def cluster_experiment(features: DataFrame, flow: list[str], unit: str, vector:
     labels = features.sparkSession.read.parquet(f"{folder}/labels").select(*[F.col(c).cast(t) for c, t in labels.dtypes])
     counts = labels.groupBy(*flow, "cluster_id").agg(F.count(F.lit(1)).alias("n_flights")).withColumn("is_noise_cluster", F.col("cluster_id") < 0)
     counts.write.mode("overwrite").parquet(f"{folder}/cluster_counts")
-    p = joins.pairs(features, flow, unit, [vector])
-    from ..functions.arrays import euclid
-
-    d = p.select(*flow, f"{unit}_a", f"{unit}_b", euclid(F.col(f"{vector}_a"), F.col(f"{vector}_b")).alias("d"))
     full = features.select(*flow, unit, vector).join(labels, [*flow, unit])
     m = evaluate.noise_share(labels, flow, "cluster_id")
     for part in (
-        evaluate.silhouette(d, labels, flow, unit, "cluster_id"),
+        evaluate.silhouette(full, flow, unit, "cluster_id", vector),
         evaluate.davies_bouldin(full, flow, unit, "cluster_id", vector),
         evaluate.calinski_harabasz(full, flow, unit, "cluster_id", vector),
     ):

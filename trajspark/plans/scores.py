@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import cluster, distance, evaluate, features, joins, resample, signal, stats
+from ..operators import cluster, distance, evaluate, features, joins, resample, signal, stats, tiles
 from ..operators import tracks as side
 from ..operators.graph import components
 from .registry import TRACKS, VECTORS, query, r, tracks, vectors
@@ -17,13 +17,12 @@ _BOTH = "both_ as (select flow, a_id as u, b_id as v, d from pairs union all sel
 _KNN = lambda k: f"near as (select * from both_ qualify row_number() over (partition by u order by d, v) <= {k}), edges as (select distinct flow, least(u, v) as a_id, greatest(u, v) as b_id, d from near)"
 
 
-def _pairs(spark, d):
-    p = joins.pairs(vectors(spark, d), ["flow"], "flight_id", ["v"])
-    return p.withColumn("d", arrays.euclid(F.col("v_a"), F.col("v_b")))
+def _pairs(spark, d, within=None):
+    return tiles.pair_distances(vectors(spark, d), ["flow"], "flight_id", within=within)
 
 
 def _edges(spark, d, k):
-    return joins.knn_edges(_pairs(spark, d).select("flow", "flight_id_a", "flight_id_b", "d"), ["flow"], "flight_id", k)
+    return tiles.nearest_edges(vectors(spark, d), ["flow"], "flight_id", k)
 
 
 def _edge_tracks(spark, d, k=5):
@@ -45,8 +44,7 @@ _W = ", ".join(str(w) + "::double" for w in arrays.point_weights(32, GROUPS))
 @query(f"with {VECTORS}, w as (select [{_W}] as w) select a.flow, a.flight_id as flight_id_a, b.flight_id as flight_id_b, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: w.w[i] * power(a.v[i] - b.v[i], 2)))), 6) as d from vectors a join vectors b on a.flow = b.flow and a.flight_id < b.flight_id, w")
 def weighted_euclid(spark, d):
     s = vectors(spark, d).withColumn("v", arrays.scaled(F.col("v"), arrays.point_weights(32, GROUPS)))
-    p = joins.pairs(s, ["flow"], "flight_id", ["v"])
-    return p.select("flow", "flight_id_a", "flight_id_b", r(arrays.euclid(F.col("v_a"), F.col("v_b"))).alias("d"))
+    return tiles.pair_distances(s, ["flow"], "flight_id").withColumn("d", r("d"))
 
 
 @query(f"with {_PAIRS}, {_BOTH}, {_KNN(5)} select flow, a_id as flight_id_a, b_id as flight_id_b, round(d, 6) as d from edges")
@@ -56,17 +54,17 @@ def knn_join(spark, d):
 
 @query(f"with {_PAIRS}, {_BOTH}, {_KNN(5)} select flow, round(quantile_cont(d, 0.9), 6) as tau from near group by flow")
 def tau_quantile(spark, d):
-    p = _pairs(spark, d)
-    both = p.select("flow", F.col("flight_id_a").alias("u"), F.col("flight_id_b").alias("v"), "d").unionByName(p.select("flow", F.col("flight_id_b").alias("u"), F.col("flight_id_a").alias("v"), "d"))
-    return features.ranked(both, ["flow", "u"], ["d", "v"], 5, "k").groupBy("flow").agg(r(F.percentile("d", F.lit(0.9))).alias("tau"))
+    near = tiles.nearest(vectors(spark, d), ["flow"], "flight_id", 5)
+    return near.groupBy("flow").agg(r(F.percentile("d", F.lit(0.9))).alias("tau"))
 
 
 @query(f"""with {VECTORS} select a.flow, a.flight_id as flight_id_a, b.flight_id as flight_id_b,
     round(list_sum(list_transform(range(1, 65), lambda i: power(greatest(a.v[i] - list_max(b.v[greatest(i - 3, 1):least(i + 3, 64)]), list_min(b.v[greatest(i - 3, 1):least(i + 3, 64)]) - a.v[i], 0), 2))), 6) as bound
     from vectors a join vectors b on a.flow = b.flow and a.flight_id < b.flight_id""")
 def lower_bound_keogh(spark, d):
-    p = joins.pairs(vectors(spark, d), ["flow"], "flight_id", ["v"])
-    return p.select("flow", "flight_id_a", "flight_id_b", r(arrays.envelope_bound(F.col("v_a"), F.col("v_b"), 3)).alias("bound"))
+    s = vectors(spark, d).withColumn("env", arrays.envelope(F.col("v"), 3))
+    p = joins.pairs(s, ["flow"], "flight_id", ["v", "env"])
+    return p.select("flow", "flight_id_a", "flight_id_b", r(arrays.envelope_bound(F.col("v_a"), F.col("env_b"))).alias("bound"))
 
 
 def _dp_sql(cost: str, first: str, step: str, final: str = "row[32]") -> str:
@@ -239,18 +237,12 @@ def _labelled(spark, d):
     return vectors(spark, d).withColumn("lab", F.when(F.col("flight_id") % 11 == 0, -1).otherwise(F.col("flow")))
 
 
-def _all_pairs(spark, d):
-    v = vectors(spark, d).select(F.lit(0).alias("g"), "flight_id", "v")
-    return joins.pairs(v, ["g"], "flight_id", ["v"]).select("g", "flight_id_a", "flight_id_b", arrays.euclid(F.col("v_a"), F.col("v_b")).alias("d"))
-
-
 @query(f"""with {VECTORS}, {_LABELS}, l as (select * from labels_ where lab >= 0),
     p as (select a.flight_id as u, a.lab as la, b.lab as lb, avg(sqrt({_DIST})) as m from l a join l b on a.flight_id <> b.flight_id group by 1, 2, 3),
     o as (select u, min(m) filter (la = lb) as i, min(m) filter (la <> lb) as o from p group by u)
     select round(avg(case when i is null then 0 when greatest(i, o) = 0 then 0 else (o - i) / greatest(i, o) end), 6) as silhouette from o where o is not null""")
 def silhouette(spark, d):
-    lab = _labelled(spark, d).select(F.lit(0).alias("g"), "flight_id", "lab")
-    return evaluate.silhouette(_all_pairs(spark, d), lab, ["g"], "flight_id", "lab").select(r("silhouette").alias("silhouette"))
+    return evaluate.silhouette(_labelled(spark, d), [], "flight_id", "lab", "v").select(r("silhouette").alias("silhouette"))
 
 
 _CENTRES = f"with {VECTORS}, {_LABELS}, l as (select lab, flight_id, i as dim, v[i] as x from labels_, unnest(range(1, 65)) as u(i) where lab >= 0), c as (select lab, dim, count(*) as n, avg(x) as c, var_pop(x) as q from l group by lab, dim)"
@@ -289,13 +281,13 @@ def adjusted_rand(spark, d):
     g as (select c.flow, kd, place, abs((y1 - y0) * (place - x0) - (x1 - x0) * (kd - y0)) / sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) as gap from c join e using (flow))
     select flow, round(arg_max(kd, (gap, -place)), 6) as eps from g group by flow""")
 def knee_eps(spark, d):
-    curve = evaluate.k_distance(_pairs(spark, d).select("flow", "flight_id_a", "flight_id_b", "d"), ["flow"], "flight_id", 4)
+    curve = evaluate.k_distance(vectors(spark, d), ["flow"], "flight_id", 4)
     return evaluate.knee(curve, ["flow"]).select("flow", r("eps").alias("eps"))
 
 
 @query(f"with {_PAIRS}, n as (select flow, count(*) as n from vectors group by flow), e as (select flow, count(*) as e from pairs where d < 1.2 group by flow) select n.flow, round(coalesce(e, 0) / (n * (n - 1) / 2.0::double), 6) as density from n left join e using (flow)")
 def edge_density(spark, d):
-    near = _pairs(spark, d).where("d < 1.2")
+    near = _pairs(spark, d, within=1.2).where("d < 1.2")
     return evaluate.density(near, vectors(spark, d), ["flow"]).select("flow", r("density").alias("density"))
 
 
@@ -307,7 +299,7 @@ _EPS, _LEAST = 1.05, 4
     border as (select p.u, min(named.cluster) as cluster from p join named on named.u = p.v group by p.u)
     select v.flight_id, coalesce(n.cluster, b.cluster, -1)::bigint as cluster from vectors v left join named n on n.u = v.flight_id left join border b on b.u = v.flight_id""")
 def dbscan_distributed(spark, d):
-    e = _pairs(spark, d).select("flight_id_a", "flight_id_b", "d")
+    e = _pairs(spark, d, within=_EPS).select("flight_id_a", "flight_id_b", "d")
     return cluster.dbscan_edges(vectors(spark, d).select("flight_id"), e, "flight_id", _EPS, _LEAST)
 
 
