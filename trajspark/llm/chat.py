@@ -57,7 +57,7 @@ def invalid(arguments: Column, name: Column, tools: Mapping[str, Schema]) -> Col
             if not required:
                 bad = bad & raw.isNotNull()
             checks.append(F.when(bad, F.lit(field)))
-        out = F.when(name == tool, F.coalesce(*checks)).otherwise(out)
+        out = F.when(name == tool, F.coalesce(F.lit(None).cast("string"), *checks)).otherwise(out)
     return F.when(arguments.isNull(), F.lit("json")).otherwise(out)
 
 

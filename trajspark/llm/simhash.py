@@ -129,7 +129,10 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def _owners(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint; a null doc_id counts as ``_NO_ID``."""
+    """(fp, root, component_id) of every distinct fingerprint; a null doc_id counts as ``_NO_ID``.
+
+    The root, a fingerprint, tells components apart also where one doc_id is in several.
+    """
     nodes = prints.groupBy("fp").agg(F.min(F.coalesce(F.col("doc_id"), F.lit(_NO_ID))).alias("least"))
     # Links explode each fingerprint 66-fold: dealt out by their number, not by their bytes, which adaptive execution would put in a few tasks.
     nodes = cut(nodes)
@@ -137,7 +140,7 @@ def _owners(prints: DataFrame) -> DataFrame:
     roots = components(links(dealt)).withColumnsRenamed({"node": "fp"})
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    return rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -154,7 +157,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     prints = cut(fingerprints(docs))
     keyed = prints.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "hash", "fp").groupBy("id", "hash", "fp").agg(F.count(F.lit(1)).alias("n"))
-    first = keyed.join(_owners(prints), "fp").groupBy("component_id").agg(F.min(F.struct("id", "hash", "n")).alias("f"))
+    first = keyed.join(_owners(prints), "fp").groupBy("root").agg(F.min(F.struct("id", "hash", "n")).alias("f"))
     key, text, times = (unused(docs.columns, c) for c in ("id", "hash", "n"))
     first = cut(first.select(F.col("f.id").alias(key), F.col("f.hash").alias(text), F.col("f.n").alias(times)))
     rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), text: F.xxhash64("text")})
