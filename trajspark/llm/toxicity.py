@@ -8,12 +8,15 @@ softmax, the trained model boils down to one weight for each bucket, by which wo
 and remembered.
 
 The classifier is fitted on a bounded sample: the ``SAMPLE`` labelled documents of smallest hash of
-each class, whole texts. Every document is scored over its whole text.
+each class, whole texts, up to ``SAMPLE_CHARS`` characters of each. A tenth of it is held back, and
+training stops when the loss on that part has not fallen for ``PATIENCE`` epochs. Labels err, so their
+targets are smoothed, and n-grams of fewer than ``LEAST_TEXTS`` sampled texts are not learned. Every
+document is scored over its whole text.
 
 Defined results. Null and empty texts, or ones without a word, score the classifier's bias alone.
 A document with several labels counts as toxic if any label says so; null labels are ignored.
 Without two classes to learn from, the score is the share of toxic labels, or 0 without any.
-Repeated rows get equal scores; an empty table gives an empty result; extra columns are not read.
+A very long text is scored whole. Repeated rows get equal scores; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +40,11 @@ SAMPLE = 2_000
 #: Characters of sampled texts of each class; documents are taken whole until they are used up.
 SAMPLE_CHARS = 6_000_000
 EPOCHS = 30
+PATIENCE = 5
+HELD_BACK = 0.1
+#: Share of a label's weight that its target gives to the other class.
+SMOOTHING = 0.05
+LEAST_TEXTS = 3
 RATE = 0.05
 BATCH = 32
 #: L2 penalty of the table's touched rows: keeps chance n-grams of few documents small.
@@ -116,45 +124,110 @@ def _bags(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return ids, weights
 
 
+@dataclass
+class _Batch:
+    """Texts as one sparse matrix, by rows for the forward pass and by buckets for the backward one."""
+
+    y: np.ndarray
+    weight: np.ndarray
+    at: np.ndarray
+    w: np.ndarray
+    row: np.ndarray
+    order: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, part: np.ndarray, ids: list[np.ndarray], bag: list[np.ndarray], labels: np.ndarray, weigh: np.ndarray) -> _Batch:
+        at = np.concatenate([ids[i] for i in part])
+        row = np.repeat(np.arange(len(part)), [len(ids[i]) for i in part])
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        return cls(labels[part], weigh[part], at, np.concatenate([bag[i] for i in part]), row, order, first)
+
+    @property
+    def buckets(self) -> np.ndarray:
+        return self.at[self.order][self.first]
+
+
+class Net:
+    """The table and the softmax, with the gradients of their weighted cross-entropy."""
+
+    def __init__(self, rng: np.random.Generator, kind: type = np.float32):
+        self.table = (rng.standard_normal((BUCKETS, DIM)) * 0.02).astype(kind)
+        self.out = (rng.standard_normal((DIM, 2)) * 0.1).astype(kind)
+        self.bias = np.zeros(2, kind)
+
+    def forward(self, b: _Batch) -> tuple[np.ndarray, np.ndarray]:
+        """(mean vectors, probabilities)."""
+        x = np.zeros((len(b.y), DIM), self.table.dtype)
+        some = np.flatnonzero(np.diff(b.row, prepend=-1))
+        if len(some):
+            x[b.row[some]] = np.add.reduceat(self.table[b.at] * b.w[:, None], some, axis=0)
+        x *= SCALE
+        z = x @ self.out + self.bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        return x, p / p.sum(1, keepdims=True)
+
+    @staticmethod
+    def targets(b: _Batch) -> np.ndarray:
+        t = np.full((len(b.y), 2), SMOOTHING, np.float32)
+        t[np.arange(len(b.y)), b.y] = 1 - SMOOTHING
+        return t
+
+    def loss(self, b: _Batch) -> float:
+        p = self.forward(b)[1]
+        return float(-(b.weight[:, None] * self.targets(b) * np.log(p + 1e-12)).sum() / len(b.y))
+
+    def gradients(self, b: _Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the touched rows of the table, of the softmax, of its bias."""
+        x, p = self.forward(b)
+        g = (p - self.targets(b)) * (b.weight / len(b.y))[:, None]
+        d_x = (g @ self.out.T) * SCALE
+        d = np.add.reduceat((b.w[:, None] * d_x[b.row])[b.order], b.first, axis=0) if len(b.first) else np.zeros((0, DIM), x.dtype)
+        return d, x.T @ g, g.sum(0)
+
+
 def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Adagrad on the cross-entropy of both the table and the softmax; classes weigh alike."""
     rng = np.random.default_rng(seed)
     ids, bag = _bags(texts)
-    table = (rng.standard_normal((BUCKETS, DIM)) * 0.02).astype(np.float32)
-    out = (rng.standard_normal((DIM, 2)) * 0.1).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    g_table, g_out, g_bias = np.full(BUCKETS, 1e-8, np.float32), np.full_like(out, 1e-6), np.full_like(bias, 1e-6)
-    share = np.bincount(labels, minlength=2) / len(labels)
+    common = np.bincount(np.concatenate(ids), minlength=BUCKETS) >= LEAST_TEXTS
+    for k, at in enumerate(ids):
+        ids[k], bag[k] = at[common[at]], bag[k][common[at]]
+    mixed = rng.permutation(len(texts))
+    aside = np.zeros(len(texts), bool)
+    for c in (0, 1):
+        of = mixed[labels[mixed] == c]
+        aside[of[: int(len(of) * HELD_BACK)]] = True
+    learn = mixed[~aside[mixed]]
+    share = np.bincount(labels[learn], minlength=2) / len(learn)
     weigh = (0.5 / share)[labels].astype(np.float32)
+    batches = [_Batch.of(learn[a : a + BATCH], ids, bag, labels, weigh) for a in range(0, len(learn), BATCH)]
+    held = _Batch.of(np.flatnonzero(aside), ids, bag, labels, weigh) if aside.any() else None
+    net = Net(rng)
+    sums = [np.full(BUCKETS, 1e-8, np.float32), np.full_like(net.out, 1e-6), np.full_like(net.bias, 1e-6)]
+    best, least, since = None, np.inf, 0
     for epoch in range(epochs):
         rate = RATE * (1 - 0.9 * epoch / epochs)
-        order = rng.permutation(len(texts))
-        for a in range(0, len(order), BATCH):
-            part = order[a : a + BATCH]
-            at, w = np.concatenate([ids[i] for i in part]), np.concatenate([bag[i] for i in part])
-            row = np.repeat(np.arange(len(part)), [len(ids[i]) for i in part])
-            x = np.zeros((len(part), DIM), np.float32)
-            vectors = table[at] * w[:, None]
-            for k in range(DIM):
-                x[:, k] = np.bincount(row, vectors[:, k], len(part))
-            x *= SCALE
-            z = x @ out + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(part)), labels[part]] -= 1
-            p *= (weigh[part] / len(part))[:, None]
-            d_out, d_bias, d_x = x.T @ p, p.sum(0), (p @ out.T) * SCALE
-            u, inv = np.unique(at, return_inverse=True)
-            d = np.stack([np.bincount(inv, w * d_x[row, k], len(u)) for k in range(DIM)], 1).astype(np.float32)
-            d += DECAY * table[u]
-            g_table[u] += (d * d).mean(1)
-            table[u] -= rate * d / np.sqrt(g_table[u])[:, None]
-            g_out += d_out**2
-            g_bias += d_bias**2
-            out -= rate * d_out / np.sqrt(g_out)
-            bias -= rate * d_bias / np.sqrt(g_bias)
-    direction = (out[:, 1] - out[:, 0]) * SCALE
-    return Model((table @ direction).astype(np.float32), float(bias[1] - bias[0]))
+        for k in rng.permutation(len(batches)):
+            u = batches[k].buckets
+            d, d_out, d_bias = net.gradients(batches[k])
+            d += DECAY * net.table[u]
+            sums[0][u] += (d * d).mean(1)
+            net.table[u] -= rate * d / np.sqrt(sums[0][u])[:, None]
+            for value, total, step in ((net.out, sums[1], d_out), (net.bias, sums[2], d_bias)):
+                total += step**2
+                value -= (rate * step / np.sqrt(total)).astype(np.float32)
+        if held is None:
+            continue
+        loss = net.loss(held)
+        since += 1
+        if loss < least:
+            best, least, since = (net.table.copy(), net.out.copy(), net.bias.copy()), loss, 0
+        elif since >= PATIENCE:
+            break
+    table, out, bias = best or (net.table, net.out, net.bias)
+    return Model((table @ ((out[:, 1] - out[:, 0]) * SCALE)).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[list[str], np.ndarray]:
