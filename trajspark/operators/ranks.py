@@ -71,8 +71,8 @@ def average_ranks(df: DataFrame, keys: Sequence[str], col: str, name: str) -> Da
 
 def quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: dict[str, float]) -> DataFrame:
     """(keys, a column for each of ``qs``): exact quantiles, linear between the two values they fall between."""
-    v = counted_values(df, keys, col)
-    at = lambda k: F.max(F.when((F.col("less") <= k) & (k < F.col("less") + F.col("n")), F.col(col)))
+    v = counted_values(df.select(*keys, F.col(col).alias("_x")), keys, "_x")
+    at = lambda k: F.max(F.when((F.col("less") <= k) & (k < F.col("less") + F.col("n")), F.col("_x")))
     out = []
     for name, q in qs.items():
         place = (F.col("total") - 1) * F.lit(float(q))
