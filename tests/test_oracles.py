@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from trajspark.plans import registry, reports, scores, streams, tables  # noqa: F401
+from trajspark.plans import distances, registry, reports, scores, streams, tables  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))

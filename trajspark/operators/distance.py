@@ -125,6 +125,33 @@ def metric(name: str) -> Callable[..., np.ndarray]:
     return METRICS[name]
 
 
+def flat_measure(name: str, dims: int = 2, **options) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A metric over rows of flat tracks of one length, for tiles."""
+    f = functools.partial(metric(name), **options)
+
+    def measure(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        for m in (a, b):
+            if m.shape[1] % dims:
+                raise ValueError(f"{m.shape[1]} values are no points of {dims} dimensions")
+            if not np.isfinite(m).all():
+                raise ValueError("tracks must be finite")
+        return f(a.reshape(len(a), -1, dims), b.reshape(len(b), -1, dims))
+
+    return measure
+
+
+def keogh(radius: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Lower bounds of the squared-cost warping distance: what the first series leave of the second ones' envelopes."""
+
+    def measure(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        padded = np.pad(b, ((0, 0), (radius, radius)), constant_values=np.nan)
+        around = np.lib.stride_tricks.sliding_window_view(padded, 2 * radius + 1, axis=1)
+        lo, hi = np.fmin.reduce(around, axis=2), np.fmax.reduce(around, axis=2)
+        return (np.maximum(np.maximum(a - hi, lo - a), 0.0) ** 2).sum(1)
+
+    return measure
+
+
 def track(values: Sequence[float], dims: int) -> np.ndarray:
     """A flat array as (points, dims); NaN or a ragged length is an error."""
     a = np.asarray(values, float)

@@ -108,6 +108,26 @@ def pair_distances(df: DataFrame, keys: Sequence[str], unit: str, v: str = "v",
     return _tiles(df, keys, unit, v, [], kernel, f"`{unit}_a` {kind}, `{unit}_b` {kind}, `d` double", per_block)
 
 
+def pair_values(df: DataFrame, keys: Sequence[str], unit: str, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], v: str = "v", name: str = "d", symmetric: bool = True, step: int = 4_096, per_block: int = 256) -> DataFrame:
+    """(keys, unit_a < unit_b, ``name``): ``measure`` (rows of a, rows of b) of all pairs of equally long vectors, ``step`` pairs at a time.
+
+    The vector of the smaller unit comes first, which counts where the measure is not ``symmetric``.
+    """
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> dict[str, np.ndarray]:
+        ua, ub, take, turned = _pairs_of(a, b, unit, same)
+        x, y = _matrix(a[v]), _matrix(b[v])
+        i, j = np.nonzero(take)
+        swap, out = turned[i, j], np.empty(len(i))
+        for k in range(0, len(i), step):
+            p, q, t = x[i[k : k + step]], y[j[k : k + step]], swap[k : k + step, None]
+            out[k : k + step] = measure(p, q) if symmetric else measure(np.where(t, q, p), np.where(t, p, q))
+        return {f"{unit}_a": np.where(swap, ub[j], ua[i]), f"{unit}_b": np.where(swap, ua[i], ub[j]), name: out}
+
+    kind = dict(df.dtypes)[unit]
+    return _tiles(df, keys, unit, v, [], kernel, f"`{unit}_a` {kind}, `{unit}_b` {kind}, `{name}` double", per_block)
+
+
 def nearest(df: DataFrame, keys: Sequence[str], unit: str, k: int, v: str = "v", per_block: int = PER_BLOCK) -> DataFrame:
     """(keys, u, v, d, k): each unit's ``k`` nearest in its group, from 1. A tile gives at most k for each of its units."""
 

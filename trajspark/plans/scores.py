@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import cluster, distance, evaluate, features, joins, resample, signal, stats, tiles
+from ..operators import cluster, distance, evaluate, features, resample, signal, stats, tiles
 from ..operators import tracks as side
 from ..operators.graph import components
 from .registry import TRACKS, VECTORS, query, r, tracks, vectors
@@ -62,16 +62,15 @@ def tau_quantile(spark, d):
     round(list_sum(list_transform(range(1, 65), lambda i: power(greatest(a.v[i] - list_max(b.v[greatest(i - 3, 1):least(i + 3, 64)]), list_min(b.v[greatest(i - 3, 1):least(i + 3, 64)]) - a.v[i], 0), 2))), 6) as bound
     from vectors a join vectors b on a.flow = b.flow and a.flight_id < b.flight_id""")
 def lower_bound_keogh(spark, d):
-    s = vectors(spark, d).withColumn("env", arrays.envelope(F.col("v"), 3))
-    p = joins.pairs(s, ["flow"], "flight_id", ["v", "env"])
-    return p.select("flow", "flight_id_a", "flight_id_b", r(arrays.envelope_bound(F.col("v_a"), F.col("env_b"))).alias("bound"))
+    p = tiles.pair_values(vectors(spark, d), ["flow"], "flight_id", distance.keogh(3), name="bound", symmetric=False)
+    return p.withColumn("bound", r("bound"))
 
 
-def _dp_sql(cost: str, first: str, step: str, final: str = "row[32]") -> str:
+def _dp_sql(cost: str, first: str, step: str, final: str = "row[32]", edges: str = _KNN(5)) -> str:
     """A dynamic program over 32 x 32 cells: a recursion over rows, each folded from the left."""
     c = cost
     return f"""
-    with recursive {_PAIRS}, {_BOTH}, {_KNN(5)},
+    with recursive {_PAIRS}, {_BOTH}, {edges},
     e as (select e.flow, e.a_id, e.b_id, list_transform(range(1, 33), lambda i: [a.v[2 * i - 1], a.v[2 * i]]) as p, list_transform(range(1, 33), lambda i: [b.v[2 * i - 1], b.v[2 * i]]) as q
           from edges e join vectors a on a.flight_id = e.a_id join vectors b on b.flight_id = e.b_id),
     dp as (select flow, a_id, b_id, p, q, 1 as i, list_reduce(list_transform(range(1, 33), lambda j: [j::double]), lambda acc, x: list_append(acc, {first.replace('COST', c.replace('I', '1').replace('J', 'x[1]::int'))}), []::double[]) as row from e
@@ -93,8 +92,7 @@ def _sum_step(diag: int, band: int | None = None) -> str:
 
 def _dense(spark, d, name, **options):
     """A costly distance of every pair of a flow."""
-    p = joins.pairs(vectors(spark, d), ["flow"], "flight_id", ["v"])
-    return distance.with_distance(p, "v_a", "v_b", name, "d", **options).select("flow", "flight_id_a", "flight_id_b", r("d").alias("d"))
+    return tiles.pair_values(vectors(spark, d), ["flow"], "flight_id", distance.flat_measure(name, **options)).withColumn("d", r("d"))
 
 
 def _dp(spark, d, name, k=5, **options):
