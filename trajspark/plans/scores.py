@@ -8,7 +8,7 @@ from ..functions import arrays
 from ..operators import cluster, distance, evaluate, features, resample, signal, stats, tiles
 from ..operators import tracks as side
 from ..operators.graph import components
-from .registry import TRACKS, VECTORS, query, r, tracks, vectors
+from .registry import ORACLE_SQL, TRACKS, VECTORS, query, r, tracks, vectors
 
 GROUPS = [(0, 7, 4.0), (24, 31, 0.5)]
 _DIST = "list_sum(list_transform(range(1, 65), lambda i: power(a.v[i] - b.v[i], 2)))"
@@ -82,6 +82,10 @@ def _dp_sql(cost: str, first: str, step: str, final: str = "row[32]", edges: str
 
 _EUC = "sqrt(power(p[I][1] - q[J][1], 2) + power(p[I][2] - q[J][2], 2))"
 _SQ = "(power(p[I][1] - q[J][1], 2) + power(p[I][2] - q[J][2], 2))"
+_ALL = "edges as (select flow, a_id, b_id, d from pairs)"
+_BAND_FIRST = "case when abs(1 - x[1]) > 4 then 'infinity'::double when x[1] = 1 then COST else acc[x[1]::int - 1] + COST end"
+_MAX_FIRST = "case when x[1] = 1 then COST else greatest(acc[x[1]::int - 1], COST) end"
+_MAX_STEP = "case when x[1] = 1 then greatest(row[1], COST) else greatest(COST, least(row[x[1]::int - 1], row[x[1]::int], acc[x[1]::int - 1])) end"
 _SUM_FIRST = "case when x[1] = 1 then COST else acc[x[1]::int - 1] + COST end"
 
 
@@ -110,54 +114,101 @@ def dtw_symmetric1(spark, d):
     return _dp(spark, d, "dtw_symmetric1")
 
 
-@query(_dp_sql(_SQ, "case when abs(1 - x[1]) > 4 then 'infinity'::double when x[1] = 1 then COST else acc[x[1]::int - 1] + COST end", _sum_step(1, 4), "sqrt(row[32])"))
+@query(_dp_sql(_SQ, _BAND_FIRST, _sum_step(1, 4), "sqrt(row[32])"))
 def dtw_banded(spark, d):
     return _dp(spark, d, "dtw_banded", window=4)
 
 
-@query(_dp_sql(_EUC, "case when x[1] = 1 then COST else greatest(acc[x[1]::int - 1], COST) end", "case when x[1] = 1 then greatest(row[1], COST) else greatest(COST, least(row[x[1]::int - 1], row[x[1]::int], acc[x[1]::int - 1])) end"))
+@query(_dp_sql(_EUC, _MAX_FIRST, _MAX_STEP))
 def frechet_discrete(spark, d):
     return _dp(spark, d, "frechet")
 
 
-@query()
+_LCSS = f"""
+    with recursive {_PAIRS},
+    e as (select a.flow, a.flight_id as a_id, b.flight_id as b_id, axis, list_transform(range(1, 33), lambda i: a.v[2 * i - 1 + axis]) as p, list_transform(range(1, 33), lambda i: b.v[2 * i - 1 + axis]) as q
+          from vectors a join vectors b on a.flow = b.flow and a.flight_id < b.flight_id, unnest([0, 1]) as u(axis)),
+    dp as (select *, 0 as i, list_transform(range(0, 33), lambda x: 0::bigint) as row from e
+           union all
+           select flow, a_id, b_id, axis, p, q, i + 1, list_reduce(list_transform(range(1, 33), lambda j: [j]), lambda acc, x: list_append(acc,
+               case when abs(p[i + 1] - q[x[1]]) <= 0.1 and abs(i + 1 - x[1]) <= 4 then row[x[1]] + 1 else greatest(row[x[1] + 1], acc[x[1]]) end), [0]::bigint[]) from dp where i < 32)
+    select flow, a_id as flight_id_a, b_id as flight_id_b, round(least(greatest(1 - avg(row[33] / 32.0::double), 0), 1), 6) + 0.0 as d from dp where i = 32 group by flow, a_id, b_id
+"""
+
+
+@query(_LCSS)
 def lcss_distance(spark, d):
     return _dense(spark, d, "lcss", epsilon=0.1, alpha=0.1)
 
 
-@query()
+@query(_dp_sql(_EUC, _SUM_FIRST, _sum_step(2), edges=_ALL))
 def dtw_symmetric2_dense(spark, d):
     return _dense(spark, d, "dtw")
 
 
-@query()
+@query(_dp_sql(_EUC, _SUM_FIRST, _sum_step(1), edges=_ALL))
 def dtw_symmetric1_dense(spark, d):
     return _dense(spark, d, "dtw_symmetric1")
 
 
-@query()
+@query(_dp_sql(_SQ, _BAND_FIRST, _sum_step(1, 4), "sqrt(row[32])", edges=_ALL))
 def dtw_banded_dense(spark, d):
     return _dense(spark, d, "dtw_banded", window=4)
 
 
-@query()
+@query(_dp_sql(_EUC, _MAX_FIRST, _MAX_STEP, edges=_ALL))
 def frechet_discrete_dense(spark, d):
     return _dense(spark, d, "frechet")
 
 
-@query()
+def _path_sql(first: str, step: str, steps: list[str]) -> str:
+    """The whole matrix of a dynamic program for each track and its nearest, walked back from its last cell; ``steps`` are [value, order, i, j]."""
+    dp = _dp_sql(_EUC, first, step, edges=_KNN(1))
+    cost = "sqrt(power(p[I][1] - q[J][1], 2) + power(p[I][2] - q[J][2], 2))".replace("I", "w.i").replace("J", "w.j")
+    return dp[: dp.rindex("select flow, a_id as flight_id_a")].rstrip() + f""",
+    m as (select a_id, b_id, any_value(p) as p, any_value(q) as q, list(row order by i) as g from dp group by a_id, b_id),
+    walk as (select a_id, b_id, 0 as back, 32 as i, 32 as j from m
+             union all
+             select a_id, b_id, back + 1, s[3]::int, s[4]::int from (select w.a_id, w.b_id, w.back, list_sort(list_filter([{", ".join(steps)}], lambda z: z[1] is not null))[1] as s
+             from (select walk.*, g, {cost.replace("w.", "walk.")} as c from walk join m using (a_id, b_id)) w where w.i > 1 or w.j > 1))
+    select a_id as flight_id_a, b_id as flight_id_b, (max(back) over (partition by a_id, b_id) - back)::int as place, (w.i - 1)::int as i, (w.j - 1)::int as j, round({cost}, 6) as local, round(g[w.i][w.j], 6) as cumulative
+    from walk w join m using (a_id, b_id)
+    """
+
+
+_IF = "case when {0} then {1} end"
+_DTW_STEPS = [
+    f"[{_IF.format('w.i > 1 and w.j > 1', 'g[w.i - 1][w.j - 1] + 2 * c')}, 0, w.i - 1, w.j - 1]",
+    f"[{_IF.format('w.i > 1', 'g[w.i - 1][w.j] + c')}, 1, w.i - 1, w.j]",
+    f"[{_IF.format('w.j > 1', 'g[w.i][w.j - 1] + c')}, 2, w.i, w.j - 1]",
+]
+_MAX_STEPS = [
+    f"[{_IF.format('w.i > 1', 'g[w.i - 1][w.j]')}, 0, w.i - 1, w.j]",
+    f"[{_IF.format('w.j > 1', 'g[w.i][w.j - 1]')}, 1, w.i, w.j - 1]",
+    f"[{_IF.format('w.i > 1 and w.j > 1', 'g[w.i - 1][w.j - 1]')}, 2, w.i - 1, w.j - 1]",
+]
+
+
+@query(_path_sql(_SUM_FIRST, _sum_step(2), _DTW_STEPS))
 def dtw_alignment(spark, d):
     p = distance.path_rows(_edge_tracks(spark, d, 1), "v_a", "v_b", "dtw")
     return p.select("flight_id_a", "flight_id_b", "place", "i", "j", r("local").alias("local"), r("cumulative").alias("cumulative"))
 
 
-@query()
+@query(_path_sql(_MAX_FIRST, _MAX_STEP, _MAX_STEPS))
 def frechet_coupling(spark, d):
     p = distance.path_rows(_edge_tracks(spark, d, 1), "v_a", "v_b", "frechet")
     return p.select("flight_id_a", "flight_id_b", "place", "i", "j", r("local").alias("local"), r("cumulative").alias("cumulative"))
 
 
-@query()
+_SENSE = _dp_sql(_EUC, _SUM_FIRST, _sum_step(2))
+_RANK = "rank() over (partition by flow order by {0}) + (count(*) over (partition by flow, {0}) - 1) / 2.0::double"
+
+
+@query(_SENSE[: _SENSE.rindex("select flow, a_id as flight_id_a")].rstrip() + f""",
+    j as (select edges.flow, edges.d as plain, dp.row[32] as warped from edges join dp on dp.i = 32 and dp.a_id = edges.a_id and dp.b_id = edges.b_id),
+    k as (select *, {_RANK.format("plain")} as ra, {_RANK.format("warped")} as rb from j)
+    select flow, count(*) as n, round(corr(plain, warped), 6) as pearson, round(corr(ra, rb), 6) as spearman, case when corr(plain, warped) < 0.6 then 'sensitive' else 'robust' end as verdict from k group by flow""")
 def speed_sensitivity(spark, d):
     """Correlation of index distance and warping distance of candidate pairs, and the verdict on it."""
     e = _edge_tracks(spark, d).withColumn("plain", arrays.euclid(F.col("v_a"), F.col("v_b")))
@@ -313,7 +364,15 @@ def _flows(name, **params):
         return cluster.cluster_flows(vectors(spark, d), ["flow"], "flight_id", "v", name, **params)
 
     run.__name__ = f"cluster_{name}"
-    return query()(run)
+    return query(_BY_FIRST if name == "dbscan" else None)(run)
+
+
+_DBSCAN = ORACLE_SQL["dbscan_distributed"]
+_AT = _DBSCAN.rindex("select v.flight_id, coalesce")
+#: The same clusters, numbered within their flow by their first unit.
+_BY_FIRST = f"""{_DBSCAN[:_AT].rstrip()}, found as (select v.flow, {_DBSCAN[_AT:].lstrip().removeprefix("select ")}),
+    firsts as (select flow, cluster, row_number() over (partition by flow order by min(flight_id)) - 1 as number from found where cluster >= 0 group by flow, cluster)
+    select found.flow, flight_id, coalesce(number, -1)::int as cluster_id from found left join firsts using (flow, cluster)"""
 
 
 for _name, _params in (
@@ -397,7 +456,15 @@ def flow_step_profile(spark, d):
     return p.select("flow", "step", "n", r("mean").alias("mean"), r("std").alias("std"), r("p50").alias("p50"))
 
 
-@query()
+@query(f"""with {TRACKS}, {_PAIRS.removeprefix(VECTORS + ", ")}""".replace("with tracks", f"with {VECTORS}, tracks") + f""", {_BOTH}, {_KNN(5)},
+    l as (select *, coalesce(sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)), 0) as seg from tracks window w as (partition by flight_id order by step)),
+    h as (select *, sum(seg) over (partition by flight_id order by step) as s from l),
+    g as (select flight_id, list(x order by step) as xs, list(y order by step) as ys, list(s order by step) as s from h group by flight_id),
+    t as (select *, case when k = 31 then s[32] else s[1] + (s[32] - s[1]) * k / 31.0::double end as here from g, unnest(range(0, 32)) as u(k)),
+    i as (select *, greatest(len(list_filter(s, lambda z: z <= here)), 1) as i from t), j as (select *, least(i + 1, 32) as j from i),
+    p as (select flight_id, k, xs[i] + case when s[j] > s[i] then (xs[j] - xs[i]) * (here - s[i]) / (s[j] - s[i]) else 0 end as x, ys[i] + case when s[j] > s[i] then (ys[j] - ys[i]) * (here - s[i]) / (s[j] - s[i]) else 0 end as y from j),
+    c as (select e.flow, a_id, b_id, e.d / (sqrt(sum(power(a.x - b.x, 2) + power(a.y - b.y, 2))) + 1e-9) as ratio from edges e join p a on a.flight_id = a_id join p b on b.flight_id = b_id and a.k = b.k group by e.flow, a_id, b_id, e.d)
+    select flow, count(*) as n, round(avg(ratio), 6) as mean_ratio, round(median(ratio), 6) as median_ratio, round(quantile_cont(ratio, 0.9), 6) as p90_ratio, round(quantile_cont(ratio, 0.95), 6) as p95_ratio from c group by flow""")
 def inflation_ratio(spark, d):
     """Distance over the index against distance over arc length, for candidate pairs."""
     t = resample.collect_tracks(signal.chainage(tracks(spark, d), ["flow", "flight_id"], ["step"], "x", "y"), ["flow", "flight_id"], ["step"], ["x", "y", "s"])
@@ -405,5 +472,5 @@ def inflation_ratio(spark, d):
     e = _edge_tracks(spark, d).withColumn("plain", arrays.euclid(F.col("v_a"), F.col("v_b")))
     j = e.join(even.select(F.col("flight_id").alias("flight_id_a"), F.col("arc").alias("a")), "flight_id_a").join(even.select(F.col("flight_id").alias("flight_id_b"), F.col("arc").alias("b")), "flight_id_b")
     ratio = F.col("plain") / (arrays.euclid(F.col("a"), F.col("b")) + 1e-9)
-    return j.groupBy("flow").agg(F.count(F.lit(1)).alias("n"), r(F.median(ratio)).alias("median_ratio"), r(F.percentile(ratio, F.lit(0.95))).alias("p95_ratio"))
-
+    out = [F.avg(ratio).alias("mean_ratio"), F.median(ratio).alias("median_ratio"), F.percentile(ratio, F.lit(0.9)).alias("p90_ratio"), F.percentile(ratio, F.lit(0.95)).alias("p95_ratio")]
+    return j.groupBy("flow").agg(F.count(F.lit(1)).alias("n"), *out).select("flow", "n", *[r(c).alias(c) for c in ("mean_ratio", "median_ratio", "p90_ratio", "p95_ratio")])
