@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from .graph import components
 
-MOST_UNITS = 20_000
+#: Bytes that one flow's matrices may take in a task, and how many of its size the kernels hold at once.
+MATRIX_BYTES = 1 << 30
+MATRICES = 4
+#: Hence the largest flow that a kernel takes.
+MOST_UNITS = int((MATRIX_BYTES / MATRICES / 8) ** 0.5)
 
 
 def dbscan_edges(units: DataFrame, edges: DataFrame, unit: str, eps: float, min_samples: int) -> DataFrame:
@@ -54,13 +58,17 @@ def distances(x: np.ndarray) -> np.ndarray:
     return d
 
 
-def kmeans(x: np.ndarray, n_clusters: int = 8, seed: int = 0, iterations: int = 100) -> np.ndarray:
-    rng = np.random.default_rng(seed)
+def spread_seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` units, each drawn with the square of its distance to the ones before."""
     centres = [x[rng.integers(len(x))]]
-    for _ in range(min(n_clusters, len(x)) - 1):
+    for _ in range(min(k, len(x)) - 1):
         d = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
         centres.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
-    c = np.array(centres)
+    return np.array(centres)
+
+
+def kmeans(x: np.ndarray, n_clusters: int = 8, seed: int = 0, iterations: int = 100) -> np.ndarray:
+    c = spread_seeds(x, n_clusters, np.random.default_rng(seed))
     for _ in range(iterations):
         lab = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1) if len(x) * len(c) * x.shape[1] < 5e7 else np.concatenate([((p[:, None, :] - c[None]) ** 2).sum(2).argmin(1) for p in np.array_split(x, 64)])
         new = np.array([x[lab == k].mean(0) if (lab == k).any() else c[k] for k in range(len(c))])
@@ -72,7 +80,7 @@ def kmeans(x: np.ndarray, n_clusters: int = 8, seed: int = 0, iterations: int =
 
 def minibatch_kmeans(x: np.ndarray, n_clusters: int = 8, batch_size: int = 256, seed: int = 0, iterations: int = 200) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(n_clusters, len(x)), replace=False)].copy()
+    c = spread_seeds(x, n_clusters, rng)
     n = np.zeros(len(c))
     for _ in range(iterations):
         part = x[rng.integers(len(x), size=min(batch_size, len(x)))]
@@ -476,6 +484,24 @@ def two_stage(first: str, second: str, first_params: dict | None = None, second_
     return fit
 
 
+def audit(name: str, n_clusters: int = 4, **params) -> Callable[[np.ndarray, bool], np.ndarray]:
+    """k-means, agglomerative or HDBSCAN over standardised features; HDBSCAN that finds fewer than two clusters gives way to k-means."""
+    if name not in ("kmeans", "agglomerative", "hdbscan"):
+        raise ValueError(f"{name!r} is none of kmeans, agglomerative, hdbscan")
+
+    def fit(m: np.ndarray, precomputed: bool = False) -> np.ndarray:
+        spread = m.std(0)
+        z = (m - m.mean(0)) / np.where(spread > 0, spread, 1)
+        if name == "hdbscan":
+            lab = clusterer("hdbscan", **params)(z)
+            if lab.max(initial=-1) >= 1:
+                return lab
+        k = min(n_clusters, len(z))
+        return clusterer("agglomerative" if name == "agglomerative" else "kmeans", n_clusters=k)(z)
+
+    return fit
+
+
 def cluster_flows(features: DataFrame, keys: Sequence[str], unit: str, vector: str, name: str, max_clusters: int | None = None, overrides: dict[tuple, dict] | None = None, **params) -> DataFrame:
     """(keys, unit, cluster_id) by a named clusterer over each flow's feature vectors, units in order.
 

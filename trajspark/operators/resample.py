@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +45,45 @@ def resample(tracks: DataFrame, cols: Sequence[str], n: int, domain: str | None
     return done.withColumns({c: F.col(f"_{c}") for c in cols}).drop(*[f"_{c}" for c in cols])
 
 
+def represent(tracks: DataFrame, cols: Sequence[str], n: int, domain: str) -> DataFrame:
+    """``resample`` along a domain, or by index where the domain is constant or unknown; ``constant`` marks tracks that never move.
+
+    Points of one domain value count once, the first of them.
+    """
+    typed = tracks.withColumns({c: F.col(c).cast("array<double>") for c in [domain, *cols]})
+    t = F.col(domain)
+    first = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (at(t, i) != at(t, i - 1)))
+    typed = typed.where(F.size(t) > 0).withColumn("_first", first)
+    moves = F.coalesce(F.forall(t, lambda x: x.isNotNull() & ~F.isnan(x)) & (F.array_min(t) < F.array_max(t)), F.lit(False))
+    pick = lambda c: F.transform("_first", _at_place(c))
+    typed = typed.withColumns({"_moves": moves, "_t": pick(domain), **{f"_{c}": pick(c) for c in cols}})
+    still = reduce(lambda a, b: a & b, [F.array_min(c) == F.array_max(c) for c in cols])
+    return typed.select(
+        *[c for c in tracks.columns if c not in (domain, *cols, "n")],
+        *[F.when(F.col("_moves"), by_domain(F.col("_t"), F.col(f"_{c}"), n)).otherwise(by_index(F.col(c), n)).alias(c) for c in cols],
+        F.coalesce(still, F.lit(False)).alias("constant"),
+    )
+
+
+def _at_place(name: str) -> Callable[[Column], Column]:
+    return lambda i: F.get(F.col(name), i)
+
+
+#: Fixed value: metres a second in a knot.
+KNOT = 0.514444
+
+
+def speed_profile(points: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, y: str, t_s: str, n: int, knots: str | None = None) -> DataFrame:
+    """Speed in m/s of each track at ``n`` even places of its way: as reported in knots where known, else from its legs."""
+    from .signal import chainage, speeds
+
+    s = speeds(chainage(points, keys, order, x, y, "_way"), keys, order, x, y, t_s)
+    if knots:
+        s = s.withColumn("speed", F.coalesce(F.col(knots) * KNOT, "speed"))
+    t = collect_tracks(s.where(F.col("speed").isNotNull()), keys, order, ["_way", "speed"])
+    return represent(t, ["speed"], n, "_way").drop("constant")
+
+
 def average_duplicates(df: DataFrame, keys: Sequence[str], index: str, cols: Sequence[str], least: int = 2) -> DataFrame:
     """Points of one index become their mean; rows with a null or non-finite value go, as do tracks with fewer than ``least`` points."""
     ok = F.lit(True)

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import itertools
 import json
-import os
 import re
 from collections.abc import Callable, Iterator, Mapping
 
 import yaml
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, evaluate
+from ..checkpoints import cut
+from ..operators import cluster, evaluate, matrix, reports, segment
 from ..operators.stats import weighted_mean
 
 
@@ -61,25 +61,77 @@ def experiments(base: Mapping, grid: list[Mapping]) -> Iterator[tuple[str, dict]
 
 
 def is_done(folder: str) -> bool:
-    return os.path.exists(f"{folder}/metrics/_SUCCESS")
-
-
-def cluster_experiment(features: DataFrame, flow: list[str], unit: str, vector: str, config: Mapping, folder: str) -> None:
-    """Labels, counts and scores of all flows, written under ``folder``. A failing flow fails the experiment: no scores are written."""
-    labels = cluster.cluster_flows(features, flow, unit, vector, config["method"], **config.get("params", {}))
+    spark = SparkSession.active()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/metrics/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def cluster_experiment(features: DataFrame, flow: list[str], unit: str, vector: str, config: Mapping, folder: str, points: DataFrame | None = None) -> None:
+    """Labels, counts, scores and the resolved configuration of all flows, written under ``folder``.
+
+    With a ``metric`` other than euclidean in the configuration, distances are precomputed: all pairs, or the candidates
+    of ``candidate_k``; the table is cached under ``cache`` if that is set. ``sample`` units of each flow are fitted, if set.
+    ``points`` with columns of ``count_by`` give counts by runway or type. A failing flow fails the experiment: no scores are written.
+    """
+    spark = features.sparkSession
+    used = segment.sample_ranked(features, flow, unit, config["sample"], config.get("seed", 11)) if config.get("sample") else features
+    params, metric = config.get("params", {}), config.get("metric", "euclidean")
+    edges = None
+    if metric == "euclidean":
+        labels = cluster.cluster_flows(used, flow, unit, vector, config["method"], config.get("max_clusters"), **params)
+    else:
+        options, k = config.get("metric_params", {}), config.get("candidate_k")
+        build = (lambda: matrix.sparse(used, flow, unit, vector, metric, k, **options)) if k else lambda: matrix.dense(used, flow, unit, vector, metric, **options)
+        recipe = matrix.recipe(metric, flow, unit, candidate_k=k, sample=config.get("sample"), seed=config.get("seed", 11), data=config.get("data"), **options)
+        edges = matrix.cached(spark, config["cache"], recipe, build) if config.get("cache") else cut(build())
+        if k and config["method"] == "hdbscan":
+            labels = matrix.cluster_components(used, edges, flow, unit, **params)
+        elif k and config["method"] == "optics":
+            labels, _ = matrix.optics(used, edges, flow, unit, vector, metric, k=k, **params)
+        elif k and config["method"] == "dbscan":
+            found = cluster.dbscan_edges(used.select(unit), edges, unit, params["eps"], params["min_samples"])
+            labels = used.select(*flow, unit).join(found.withColumnRenamed("cluster", "cluster_id"), unit).select(*flow, unit, "cluster_id")
+        elif k:
+            raise ValueError(f"{config['method']} needs all pairs: leave candidate_k out")
+        else:
+            labels = matrix.cluster_dense(used, matrix.sanitised(edges, flow, unit), flow, unit, config["method"], config.get("max_clusters"), **params)
     labels.write.mode("overwrite").partitionBy(*flow).parquet(f"{folder}/labels")
-    labels = features.sparkSession.read.parquet(f"{folder}/labels").select(*[F.col(c).cast(t) for c, t in labels.dtypes])
+    labels = spark.read.parquet(f"{folder}/labels").select(*[F.col(c).cast(t) for c, t in labels.dtypes])
     counts = labels.groupBy(*flow, "cluster_id").agg(F.count(F.lit(1)).alias("n_flights")).withColumn("is_noise_cluster", F.col("cluster_id") < 0)
     counts.write.mode("overwrite").parquet(f"{folder}/cluster_counts")
-    full = features.select(*flow, unit, vector).join(labels, [*flow, unit])
-    m = evaluate.noise_share(labels, flow, "cluster_id")
-    for part in (
-        evaluate.silhouette(full, flow, unit, "cluster_id", vector),
-        evaluate.davies_bouldin(full, flow, unit, "cluster_id", vector),
-        evaluate.calinski_harabasz(full, flow, unit, "cluster_id", vector),
-    ):
-        m = m.join(part, flow, "left")
+    if not reports.counts_agree(labels, counts, flow).where("not agrees").isEmpty():
+        raise ValueError("cluster counts do not add up to the labels")
+    for column in config.get("count_by", []):
+        first = points.groupBy(unit).agg(F.min(column).alias(column))
+        labels.join(first.dropna(), unit).groupBy(*flow, "cluster_id", column).agg(F.count(F.lit(1)).alias("n_flights")).write.mode("overwrite").parquet(f"{folder}/counts_by_{column}")
+    if edges is None:
+        full = used.select(*flow, unit, vector).join(labels, [*flow, unit])
+        m = evaluate.noise_share(labels, flow, "cluster_id")
+        for part in (
+            evaluate.silhouette(full, flow, unit, "cluster_id", vector),
+            evaluate.davies_bouldin(full, flow, unit, "cluster_id", vector),
+            evaluate.calinski_harabasz(full, flow, unit, "cluster_id", vector),
+        ):
+            m = m.join(part, flow, "left")
+    else:
+        m = matrix.scores(labels, edges, flow, unit, absent_is_zero=bool(config.get("absent_is_zero")))
+    total = features.groupBy(*flow).agg(F.count(F.lit(1)).alias("n_total"))
+    m = m.join(total, flow).withColumn("mode", F.lit("sample_only" if config.get("sample") else "all"))
     m.write.mode("overwrite").parquet(f"{folder}/metrics")
+    written = spark.read.parquet(f"{folder}/metrics")
+    overall(written, ["silhouette", "davies_bouldin", "calinski_harabasz"]).write.mode("overwrite").parquet(f"{folder}/metrics_global")
+    spark.createDataFrame([(yaml.safe_dump(dict(config), sort_keys=True),)], "config string").coalesce(1).write.mode("overwrite").text(f"{folder}/config_resolved")
+
+
+def recomputed(spark: SparkSession, folder: str, edges: DataFrame, flow: list[str], unit: str, **options) -> DataFrame:
+    """Scores of an experiment's stored labels from a table of distances, without clustering again."""
+    return matrix.scores(spark.read.parquet(f"{folder}/labels"), edges, flow, unit, **options)
+
+
+def relocated(refs: DataFrame, column: str, old: str, new: str) -> DataFrame:
+    """References to files that moved: paths below ``old`` now below ``new``; others stay."""
+    at = old.rstrip("/") + "/"
+    return refs.withColumn(column, F.when(F.startswith(F.col(column), F.lit(at)), F.concat(F.lit(new.rstrip("/") + "/"), F.substr(F.col(column), F.lit(len(at) + 1)))).otherwise(F.col(column)))
 
 
 def overall(metrics: DataFrame, names: list[str], weight: str = "n_units", complete: bool = False) -> DataFrame:

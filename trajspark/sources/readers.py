@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timeops import FORMATS, parse
+
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The table itself, or an error that names the missing columns."""
@@ -37,16 +39,88 @@ def contract(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     return df.select(*first, *[f"`{c}`" for c in df.columns if c not in columns])
 
 
-def csv(spark: SparkSession, paths: Sequence[str] | str, sep: str = ",", schema: str | None = None) -> DataFrame:
-    """CSV files of drifting columns: each is read by its own header, and they are united by name. ``_file`` tells them apart."""
+def csv(spark: SparkSession, paths: Sequence[str] | str, sep: str = ",", schema: str | None = None, parse_dates: Sequence[str] = (), first: int | None = None) -> DataFrame:
+    """CSV files of drifting columns: each is read by its own header, and they are united by name, in order of their paths.
+
+    ``_file`` and ``_row`` tell rows apart. Those of ``parse_dates`` that a file has become timestamps. ``first`` keeps
+    that many rows in order of files and rows. A pattern without a file is an error.
+    """
     r = spark.read.option("header", True).option("sep", sep)
-    if schema:
-        return r.schema(schema).csv(paths).withColumn("_file", F.col("_metadata.file_name"))
-    each = [paths] if isinstance(paths, str) else sorted(paths)
+    each = sorted(matching(spark, [paths] if isinstance(paths, str) else list(paths)))
     if not each:
-        raise FileNotFoundError("no file to read")
-    frames = [r.option("inferSchema", True).csv(p).withColumn("_file", F.input_file_name()) for p in each]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+        raise FileNotFoundError(f"no file matches {paths}")
+    frames = []
+    for i, p in enumerate(each):
+        d = (r.schema(schema) if schema else r.option("inferSchema", True)).csv(p)
+        dates = {c: parse(F.col(f"`{c}`").cast("string"), *FORMATS).cast("timestamp_ntz") for c in parse_dates if c in d.columns}
+        frames.append(d.withColumns({**dates, "_file": F.lit(p.rsplit("/", 1)[-1]), "_order": F.lit(i), "_row": F.monotonically_increasing_id()}))
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    if first is not None:
+        out = out.orderBy("_order", "_row").limit(first)
+    return out.drop("_order")
+
+
+def matching(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
+    """Paths of files that match, in any store that Spark reads."""
+    out = []
+    for p in patterns:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        out += [f.getPath().toString() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []]
+    return out
+
+
+def latest(spark: SparkSession, folder: str, pattern: str = "preprocessed_*") -> str:
+    """The last path by name of those that match."""
+    found = matching(spark, [f"{folder}/{pattern}"])
+    if not found:
+        raise FileNotFoundError(f"nothing in {folder} matches {pattern}")
+    return max(found)
+
+
+def months(spark: SparkSession, folder: str, wanted: Sequence[str], pattern: str = "*{month}*") -> DataFrame:
+    """Parquet files of the wanted months, found by ``pattern`` in their names; a month without a file is an error."""
+    paths = []
+    for m in wanted:
+        found = matching(spark, [f"{folder}/{pattern.format(month=m)}"])
+        if not found:
+            raise FileNotFoundError(f"no file of month {m} in {folder}")
+        paths += found
+    return spark.read.option("mergeSchema", "true").parquet(*sorted(set(paths)))
+
+
+def chosen(df: DataFrame, columns: Sequence[str], key: str | None = None, values: DataFrame | Sequence | None = None) -> DataFrame:
+    """Some columns, and of the rows those whose key is among ``values``: a semi-join, or a filter for a short list."""
+    require(df, [*columns, *([key] if key else [])])
+    if key and isinstance(values, DataFrame):
+        df = df.join(values.select(F.col(values.columns[0]).alias(key)).distinct(), key, "left_semi")
+    elif key:
+        df = df.where(F.col(key).isin(list(values or [])))
+    return df.select(*columns)
+
+
+def batches(spark: SparkSession, path: str, ts: str = "timestamp", lat: str = "latitude", lon: str = "longitude", callsign: str = "callsign") -> DataFrame:
+    """A folder of Parquet batches as one table of points in order of time: unreadable files are skipped, call signs cleaned
+    (trimmed, upper case, '' and NAN as null), rows without time or place left out."""
+    d = require(parquet_dir(spark, path), [ts, lat, lon])
+    if dict(d.dtypes)[ts] == "string":
+        d = d.withColumn(ts, parse(F.col(ts)).cast("timestamp_ntz"))
+    if callsign in d.columns:
+        clean = F.upper(F.trim(callsign))
+        d = d.withColumn(callsign, F.when(~clean.isin("", "NAN", "NONE"), clean))
+    return d.dropna(subset=[ts, lat, lon]).orderBy(ts)
+
+
+#: Names that the columns of a track file go by.
+TRACK_COLUMNS = {"track": ("trajectory_id", "traj_id", "flight_id", "id"), "t": ("time", "timestamp", "ts"), "x": ("x_utm", "lon", "longitude", "east"), "y": ("y_utm", "lat", "latitude", "north"), "z": ("altitude", "alt", "height")}
+
+
+def tracks(spark: SparkSession, path: str) -> DataFrame:
+    """Tracks of a CSV, Parquet or NPZ file with columns track, x, y and, where there are such, t and z, found by their usual names."""
+    refuse_pickles(path)
+    if path.endswith(".npz"):
+        return npz_tracks(spark, path)
+    d = resolve(csv_auto(spark, path) if path.endswith((".csv", ".txt")) else spark.read.parquet(path), TRACK_COLUMNS)
+    return require(d, ["track", "x", "y"])
 
 
 def sniff(spark: SparkSession, path: str, candidates: str = ";,\t|") -> str:
@@ -57,7 +131,7 @@ def sniff(spark: SparkSession, path: str, candidates: str = ";,\t|") -> str:
 
 
 def csv_auto(spark: SparkSession, path: str) -> DataFrame:
-    return csv(spark, path, sniff(spark, path))
+    return csv(spark, path, sniff(spark, path)).drop("_file", "_row")
 
 
 def head_of_files(df: DataFrame, file: str, ordinal: str, n: int) -> DataFrame:

@@ -17,6 +17,12 @@ def parquet_and_csv(df: DataFrame, parquet: str, csv: str | None = None, partiti
         flat(df).write.mode("overwrite").option("header", True).csv(csv)
 
 
+def append(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Add rows to a table that may exist, as Parquet or CSV."""
+    w = (flat(df) if kind == "csv" else df).write.mode("append")
+    w.option("header", True).csv(path) if kind == "csv" else w.parquet(path)
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text."""
     nested = (ArrayType, MapType, StructType)
