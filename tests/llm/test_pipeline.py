@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import os
 from collections import Counter
@@ -31,6 +32,8 @@ def folder(spark, sf_dir, tmp_path_factory):
         (90_005, body, "en", "hot", len(body)),
         (90_006, "an own first line here\n" + body + "\nan own last line there", "en", "hot", len(body) + 47),
         (None, body.replace("a", "b"), None, "hot", 1),
+        (90_007, " ".join(good["text"].split()[::-1]), "en", "hot", 1),  # near copies without a line in common
+        (90_008, " ".join(good["text"].split()[::-1]) + " end", "en", "rare", 1),
     ]
     docs.unionByName(spark.createDataFrame(extra, docs.schema)).repartition(4).write.parquet(f"{top}/documents.parquet")
     return top
@@ -65,22 +68,46 @@ def test_quality_keeps_what_its_sql_keeps(stages, folder):
     assert 0 < len(stages[1]) < len(stages[0])
 
 
-def test_line_dedup_removes_repeated_chunks(spark, stages):
-    docs = spark.createDataFrame([tuple(r) for r in stages[1]], "doc_id long, text string, lang string, source string, n_chars long")
-    chunks = {r["doc_id"]: (r["_chunks"], r) for r in line_dedup.with_chunks(docs).collect()}
+def pieces(texts):
+    """Chunks of every text with exact edges, in plain Python."""
+    split = {i: t.split("\n") for i, t in texts.items()}
+    pairs = Counter(p for x in split.values() for p in zip(x, x[1:], strict=False))
+    long = Counter(z for x in split.values() for z in x if len(z.split()) >= 50)
+    hashed = lambda z: int(hashlib.md5(z.encode()).hexdigest()[:7], 16)
+    for i, x in split.items():
+        n = [*(pairs[p] for p in zip(x, x[1:], strict=False)), 1]
+        alone = [long[z] > 1 for z in x]
+        if max(n) == 1 and not any(alone):
+            n = None
+        out, now = [], []
+        for k, z in enumerate(x):
+            now.append(z)
+            roll = (hashed(z) + 31 * (hashed(x[k - 1]) if k else 0)) % 1_000_003 % 4 == 0
+            if n is not None:
+                rarer = k > 0 and n[k] < n[k - 1] or k + 1 < len(n) and n[k] < n[k + 1]
+                roll = roll and n[k] == 1 or rarer or alone[k] or k + 1 < len(x) and alone[k + 1]
+            if roll or k == len(x) - 1:
+                out.append("\n".join(now))
+                now = []
+        yield i, out
+
+
+def test_line_dedup_removes_repeated_passages(stages):
+    rows = {r["doc_id"]: r for r in stages[1]}
+    assert len(rows) == len(stages[1])
+    chunks = dict(pieces({i: r["text"] for i, r in rows.items()}))
     seen: set[str] = set()
     want = Counter()
     for i in sorted(chunks, key=lambda x: -(2**63) if x is None else x):
-        parts, r = chunks[i]
-        kept = []
-        for c in parts:
-            if sum(1 for x in c.split("\n") if x.strip(" \t\n\x0b\x0c\r")) >= line_dedup.LEAST_LINES:
+        r, kept = rows[i], []
+        for c in chunks[i]:
+            if sum(1 for x in c.split("\n") if x.strip(" \t\n\x0b\x0c\r")) >= line_dedup.LEAST_LINES or len(c.split()) >= 50:
                 if c in seen:
                     continue
                 seen.add(c)
             kept.append(c)
         text = "\n".join(kept)
-        if len(kept) == len(parts):
+        if len(kept) == len(chunks[i]):
             want[tuple(r[c] for c in COLUMNS)] += 1
         elif text.strip(" "):
             want[r["doc_id"], text, r["lang"], r["source"], len(text)] += 1

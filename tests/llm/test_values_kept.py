@@ -267,3 +267,34 @@ def test_packing_of_null_ids_ties_and_a_very_long_text(spark):
     assert len({(r["bucket"], r["batch"], r["batch_pos"]) for r in out}) == len(out)
     starts = sorted(r["start"] for r in out if r["doc_id"] == 3 and r["n_tokens"] > 3)
     assert starts == [64 * k for k in range(157)]
+
+
+def test_short_passages_between_private_lines_go(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    private = lambda: "\n".join(line(rng.randint(4, 9)) for _ in range(rng.randint(2, 9)))
+    passages = ["\n".join(line(30) for _ in range(n)) for n in (2, 3, 4, 5)] + [line(60)]
+    texts, own_lines = [], []
+    for i in range(40):
+        parts = [private(), passages[i % 5], private()] if i % 7 else [private(), passages[i % 5], passages[(i + 1) % 5], private()]
+        texts.append("\n".join(parts))
+        own_lines.append("\n".join(p for p in parts if p not in passages))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(d, passages=True).collect()}
+    seen: set[str] = set()
+    for i in range(40):
+        assert set(own_lines[i].split("\n")) <= set(out[i].split("\n"))  # private lines stay
+        for p in passages:
+            if p in texts[i]:
+                assert (p in out[i]) == (p not in seen)
+                seen.add(p)
+
+
+@pytest.mark.parametrize("passages", [False, True])
+def test_line_dedup_of_odd_texts(spark, passages):
+    rows = [(1, None), (2, ""), (3, "\n\n\n"), (4, "\n\n\n"), (5, "a\nb"), (6, "a\nb"), (None, "a\nb"), (7, "x " * 60), (8, "x " * 60), (9, "a\nb"), (9, "a\nb\nc")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = [(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(d, passages=passages).collect()]
+    assert len(out) == len(rows) and {(1, None), (2, ""), (3, "\n\n\n"), (4, "\n\n\n"), (None, "a\nb"), (7, "x " * 60)} <= set(out)
+    assert ((8, "") in out) == passages
+    assert line_dedup.dedup_lines(d.limit(0), passages=passages).count() == 0

@@ -10,6 +10,12 @@ DataFrame expressions only. Texts are shuffled twice (counting, and joining what
 documents); a very common chunk is pre-aggregated before the shuffle, and the join on it has one
 row for each chunk on the other side, so that adaptive execution can split it.
 
+``passages`` makes the edges exact. Boundaries then also depend on how often each pair of neighbouring lines
+occurs in the corpus: a chunk ends where a pair is rarer than the pair beside it, so that a passage pasted
+between private lines is a chunk of just its own lines, and not within pairs that repeat. Lines of
+``LEAST_WORDS`` words that repeat are chunks of their own, and a chunk of so many words goes even if it is
+one line. Pairs are counted by two hashes, before the shuffle and after it; what goes is still compared by its text.
+
 Removed chunks are found by their place in the document, so that work grows with the text, not with its square.
 
 Defined results. Null text stays null, with zero counts; an empty text is one empty line. Rows that
@@ -22,13 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, own
+from .common import BLANKS, WORD, cut, own
 
 WINDOW = 2
 BASE = 31
 PRIME = 1_000_003
 MEAN_LINES = 4
 LEAST_LINES = 2
+#: With ``passages``: words of a chunk, or of a line, that may go alone.
+LEAST_WORDS = 50
 _NO_ID = -(2**63)
 
 
@@ -36,22 +44,53 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
 
 
-def with_chunks(docs: DataFrame, name: str = "_chunks") -> DataFrame:
-    """Add ``name``: the texts of the document's chunks, in order; joined by newlines they give the text."""
+def with_chunks(docs: DataFrame, name: str = "_chunks", counted: str | None = None) -> DataFrame:
+    """Add ``name``: the texts of the document's chunks, in order; joined by newlines they give the text.
+
+    ``counted`` names what ``pair_counts`` found of the document's lines, or null.
+    """
     d = docs.withColumn("_lines", F.split("text", "\n"))
     d = d.withColumn("_hashes", F.transform("_lines", line_hash))
+    if counted:  # only what fits the lines, one by one
+        d = d.withColumn("_pairs", F.when(F.size(F.col(counted)) == F.size("_lines"), F.col(counted)))
+    else:
+        d = d.withColumn("_pairs", F.lit(None).cast("array<struct<n:long,long:boolean>>"))
 
     def ends(h: Column, i: Column) -> Column:
         roll, power = h, 1
         for k in range(1, WINDOW):
             power *= BASE
             roll = roll + power * F.coalesce(F.get("_hashes", i - k), F.lit(0))
-        return F.when((roll % PRIME % MEAN_LINES == 0) | (i == F.size("_hashes") - 1), i)
+        found = roll % PRIME % MEAN_LINES == 0
+        if counted:
+            at = lambda k: F.get("_pairs", i + k)
+            rarer = F.coalesce(at(0)["n"] < at(-1)["n"], F.lit(False)) | F.coalesce(at(0)["n"] < at(1)["n"], F.lit(False))
+            alone = F.coalesce(at(0)["long"], F.lit(False)) | F.coalesce(at(1)["long"], F.lit(False))
+            found = found & (F.coalesce(at(0)["n"], F.lit(1)) == 1) | rarer | alone
+        return F.when(found | (i == F.size("_hashes") - 1), i)
 
     d = d.withColumn("_ends", F.filter(F.transform("_hashes", ends), lambda x: x.isNotNull()))
     start = lambda k: F.coalesce(F.get("_ends", k - 1) + 1, F.lit(0))
     chunks = F.transform("_ends", lambda e, k: F.array_join(F.slice("_lines", start(k) + 1, e - start(k) + 1), "\n"))
-    return d.withColumn(name, chunks).drop("_lines", "_hashes", "_ends")
+    return d.withColumn(name, chunks).drop("_lines", "_hashes", "_ends", "_pairs")
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(id, counted): of every line how often it and the next one occur as neighbours, and whether it is long and repeats.
+
+    Only documents in which anything repeats; written down, as it is read twice.
+    """
+    d = docs.select(_id().alias("id"), F.split("text", "\n").alias("lines"))
+    d = d.select("id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
+    pairs = F.transform("h", lambda x, k: F.struct(k.alias("k"), F.lit(0).alias("kind"), F.when(k < F.size("h") - 1, F.xxhash64(x, F.get("h", k + 1), F.lit(0))).alias("h")))
+    longs = F.transform("lines", lambda x, k: F.when(F.length(x) >= 2 * LEAST_WORDS - 1, F.struct(k.alias("k"), F.lit(1).alias("kind"), F.when(F.regexp_count(x, F.lit(WORD)) >= LEAST_WORDS, F.get("h", k)).alias("h"))))
+    rows = d.select("id", F.explode(F.concat(pairs, F.filter(longs, lambda x: x["h"].isNotNull()))).alias("r")).select("id", "r.*")
+    often = rows.where("h is not null").groupBy("kind", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    marked = rows.join(often, ["kind", "h"], "left").select("id", F.struct("k", "kind", F.coalesce("n", F.lit(1)).alias("n")).alias("r"), "n")
+    of = marked.groupBy("id").agg(F.sort_array(F.collect_list("r")).alias("r"), F.max("n").alias("most")).where("most is not null")
+    after = lambda i: F.get("r", i + 1)  # noqa: E731  (a long line's own entry follows that of its pair)
+    dense = F.transform("r", lambda x, i: F.when(x["kind"] == 0, F.struct(x["n"].alias("n"), F.coalesce((after(i)["kind"] == 1) & (after(i)["n"] > 1), F.lit(False)).alias("long"))))
+    return cut(of.select("id", F.filter(dense, lambda x: x.isNotNull()).alias("counted")))
 
 
 def _word_lines(chunk: Column) -> Column:
@@ -69,15 +108,22 @@ def _lines_in(chunks: Column) -> Column:
     return F.aggregate(chunks, F.lit(0).cast("long"), lambda s, c: s + F.length(c) - F.length(F.translate(c, "\n", "")) + 1)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
     """``docs`` with cleaned text, and n_lines, n_chunks, n_removed_chunks, n_removed_lines."""
+    found = pair_counts(docs) if passages else None
+    narrow = docs.select(_id().alias("id"), "text")
+    narrow = with_chunks(narrow.join(found, "id", "left"), counted="counted") if passages else with_chunks(narrow)
     # The outer form: for a plain explode, a filter on the size of the chunks would be pushed to the scan, and inlined there.
-    rows = with_chunks(docs.select("doc_id", "text")).select(_id().alias("id"), F.posexplode_outer("_chunks").alias("k", "chunk"))
-    rows = rows.where(_word_lines(F.col("chunk")) >= LEAST_LINES).withColumn("h", F.xxhash64("chunk"))
+    rows = narrow.select("id", F.posexplode_outer("_chunks").alias("k", "chunk"))
+    enough = _word_lines(F.col("chunk")) >= LEAST_LINES
+    if passages:
+        enough = enough | (F.regexp_count("chunk", F.lit(WORD)) >= LEAST_WORDS)
+    rows = rows.where(enough).withColumn("h", F.xxhash64("chunk"))
     firsts = rows.groupBy("h", "chunk").agg(F.min(F.struct("id", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     hits = rows.select("id", "k", "h").join(firsts, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "first", "chunk"))).alias("hits"))
     boxed = docs.select(F.struct(*own(docs.drop("text"))).alias("row"), _id().alias("id"), "text")
-    d = with_chunks(boxed.join(hits, "id", "left"))  # cut into chunks behind the shuffle, which so carries one copy of the text
+    joined = boxed.join(hits, "id", "left")
+    d = with_chunks(joined.join(found, "id", "left"), counted="counted") if passages else with_chunks(joined)  # cut into chunks behind the shuffle, which so carries one copy of the text
     here = lambda x: (F.get("_chunks", x["k"]) == x["chunk"]) & ((x["first"]["id"] != F.col("id")) | (x["first"]["k"] != x["k"]))
     d = d.withColumn("gone", F.coalesce(F.transform(F.filter("hits", here), lambda x: x["k"]), F.array().cast("array<int>")))
     # What stays are the stretches between the places of what goes.
