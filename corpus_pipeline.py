@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line passages go from the texts; n_chars follows. A document left without text goes."""
-    cleaned = line_dedup.dedup_lines(docs)
+    """Repeated passages go from the texts, of several lines or of 50 words; n_chars follows. A document left without text goes."""
+    cleaned = line_dedup.dedup_lines(docs, passages=True)
     touched = F.col("n_removed_chunks") > 0
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars")))
