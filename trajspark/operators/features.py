@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,18 +72,28 @@ def standardise(df: DataFrame, keys: Sequence[str], unit: str, v: str = "v") ->
 def principal_axes(df: DataFrame, v: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, axes, explained shares): the covariance is summed by the executors, its eigenvectors are found on the driver.
 
-    The driver gets dims x dims numbers. An axis points where its largest loading is positive. Runs a job.
+    A partition gives one matrix of products, and the driver gets dims x dims numbers. An axis points where its largest loading is positive. Runs a job.
     """
     dims = df.select(F.max(F.size(v))).first()[0] or 0
-    x = df.select(F.col(v).cast("array<double>").alias("v"))
-    pairs = x.select(F.posexplode("v").alias("i", "a"), "v").select("i", "a", F.posexplode("v").alias("j", "b")).where("i <= j")
-    rows = pairs.groupBy("i", "j").agg(F.covar_pop("a", "b").alias("c")).collect()
-    means = x.select(F.posexplode("v").alias("i", "a")).groupBy("i").agg(F.avg("a").alias("m")).collect()
-    cov, mean = np.zeros((dims, dims)), np.zeros(dims)
-    for r in rows:
-        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["c"]
+    x = df.where(F.col(v).isNotNull()).select(F.col(v).cast("array<double>").alias("v"))
+    means = x.select(F.posexplode("v").alias("i", "a")).groupBy("i").agg(F.avg("a").alias("m")).collect()  # one row a dimension
+    mean = np.zeros(dims)
     for r in means:
         mean[r["i"]] = r["m"]
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros((dims, dims)), 0
+        for batch in batches:
+            if len(batch):
+                c = np.array(batch["v"].tolist(), float) - mean  # centred first: sums of products then lose nothing
+                total, n = total + c.T @ c, n + len(c)
+        if n:
+            i, j = np.triu_indices(dims)
+            yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "s": total[i, j], "n": n})
+
+    cov = np.zeros((dims, dims))
+    for r in x.mapInPandas(products, "i int, j int, s double, n long").groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect():
+        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["s"] / r["n"]
     w, e = np.linalg.eigh(cov)
     w, e = np.maximum(w[::-1], 0), e[:, ::-1]
     e = e * np.sign(e[np.abs(e).argmax(0), np.arange(dims)])

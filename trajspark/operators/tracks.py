@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -144,6 +145,27 @@ def ground_tracks(lines: DataFrame, keys: Sequence[str], x: str, y: str, step: s
     return lines.groupBy(*keys).applyInPandas(run, schema)
 
 
+def experiment_inputs(labels: DataFrame, flow: Sequence[str], cluster: str, type_: str, direction: str, profiles: DataFrame, classes: DataFrame, default: str = "DEFAULT") -> DataFrame:
+    """One row for each flow, cluster (noise left out) and aircraft type: flights, height profile, spectral class, and where they came from.
+
+    ``profiles`` (type, direction, profile) is asked for the type, then for ``default``; ``classes`` (type, spectral_class)
+    likewise. A type without either is kept, with nulls and source 'none'. Unknown types count as ``default``.
+    """
+    named = F.coalesce(F.when(F.trim(type_) != "", F.upper(F.trim(type_))), F.lit(default))
+    n = labels.where(F.col(cluster) >= 0).groupBy(*flow, cluster, F.col(direction).alias("_d"), named.alias("_t")).agg(F.count(F.lit(1)).alias("n_flights"))
+
+    def asked(rows: DataFrame, table: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+        t = table.select(F.upper(F.trim("type")).alias("_type"), *[F.col(c).alias(f"_{c}") for c in by], F.col(value).alias(f"_{value}")).groupBy("_type", *[f"_{c}" for c in by]).agg(F.min(f"_{value}").alias(f"_{value}"))
+        same = [F.col("_d") == F.col(f"_{c}") for c in by]
+        own = rows.join(t, reduce(lambda a, b: a & b, same, F.col("_t") == F.col("_type")), "left").drop("_type", *[f"_{c}" for c in by]).withColumnRenamed(f"_{value}", "_own")
+        other = own.join(t.where(F.col("_type") == default), reduce(lambda a, b: a & b, same, F.lit(True)), "left") if by else own.join(F.broadcast(t.where(F.col("_type") == default)), how="left")  # one row
+        source = F.when(F.col("_own").isNotNull(), "type").when(F.col(f"_{value}").isNotNull(), "default").otherwise("none")
+        return other.withColumns({value: F.coalesce("_own", f"_{value}"), f"{value}_from": source}).drop("_type", "_own", f"_{value}", *[f"_{c}" for c in by])
+
+    found = asked(asked(n, profiles, ["direction"], "profile"), classes, [], "spectral_class")
+    return found.select(*flow, cluster, F.col("_t").alias("aircraft_type"), F.col("_d").alias("direction"), "n_flights", "profile", "profile_from", "spectral_class", "spectral_class_from")
+
+
 def total_levels(maps: DataFrame, keys: Sequence[str], level: str, scale: Column | float = 1.0) -> DataFrame:
     """Levels in dB summed as energy, whatever number of maps they come from."""
     energy = F.sum(to_energy(F.col(level)) * scale)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import flights, ranks, reports
+from ..operators import flights, ranks, reports, tracks
 from .registry import STREAM, VECTORS, query, r, stream, table, vectors
 
 
@@ -200,3 +200,19 @@ def complete_rows(spark, d):
     return n.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), r(F.avg("n_nationkey")).alias("mean"))
 
 
+@query("""with l as (select p_brand as flow, p_size % 4 - 1 as cluster, case when p_partkey % 5 = 0 then 'DEFAULT' else upper(p_type) end as t, case when p_partkey % 2 = 0 then 'A' else 'D' end as d from part),
+    n as (select flow, cluster, t, d, count(*) as n_flights from l where cluster >= 0 group by all),
+    p as (select distinct upper(p_type) as t, 'A' as d, 'P ' || upper(p_type) as profile from part union all select 'DEFAULT', 'D', 'P D'), c as (select distinct upper(p_type) as t, 'C ' || length(p_type) as spectral_class from part where length(p_type) % 2 = 0 union all select 'DEFAULT', 'C 0')
+    select flow, cluster::int as cluster, n.t as aircraft_type, n.d as direction, n_flights, coalesce(p.profile, q.profile) as profile, case when p.profile is not null then 'type' when q.profile is not null then 'default' else 'none' end as profile_from,
+           coalesce(c.spectral_class, 'C 0') as spectral_class, case when c.t is not null then 'type' else 'default' end as spectral_class_from
+    from n left join p on p.t = n.t and p.d = n.d left join p q on q.t = 'DEFAULT' and q.d = n.d left join c on c.t = n.t""")
+def experiment_inputs(spark, d):
+    part = table(spark, d, "part")
+    key = F.col("p_partkey")
+    lab = part.select(F.col("p_brand").alias("flow"), (F.col("p_size") % 4 - 1).alias("cluster"), F.when(key % 5 != 0, F.col("p_type")).alias("type"), F.when(key % 2 == 0, "A").otherwise("D").alias("ad"))
+    types = part.select(F.col("p_type").alias("type")).distinct()
+    extra = lambda *row: spark.createDataFrame([row], "type string, direction string, profile string")
+    profiles = types.select("type", F.lit("A").alias("direction"), F.concat(F.lit("P "), F.upper("type")).alias("profile")).unionByName(extra("default", "D", "P D"))
+    classes = types.where(F.length("type") % 2 == 0).select("type", F.concat(F.lit("C "), F.length("type").cast("string")).alias("spectral_class"))
+    classes = classes.unionByName(spark.createDataFrame([("default", "C 0")], classes.schema))
+    return tracks.experiment_inputs(lab, ["flow"], "cluster", "type", "ad", profiles, classes)
