@@ -93,11 +93,16 @@ def chainage(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, y
     return df.withColumn("seg", seg).withColumn(name, F.sum("seg").over(w))
 
 
-def speeds(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, y: str, t_s: str) -> DataFrame:
-    """Adds ``speed`` at points: mean of the legs on both sides, the one leg at the ends; legs without time are left out."""
+def speeds(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, y: str, t: str, per_s: float = 1.0) -> DataFrame:
+    """Adds ``speed`` at points: mean of the legs on both sides, the one leg at the ends; legs without time are left out.
+
+    ``t`` counts ``per_s`` to a second. Whole microseconds are subtracted before they become seconds, which as
+    doubles since 1970 hold no more than a quarter of one.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    dt = F.col(t_s) - F.lag(t_s).over(w)
-    d = df.withColumn("_leg", F.when(dt > 0, F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)) / dt))
+    dt = (F.col(t) - F.lag(t).over(w)) / F.lit(per_s)
+    dx, dy = F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)
+    d = df.withColumn("_leg", F.when(dt > 0, F.sqrt(dx * dx + dy * dy) / dt))
     after = F.lead("_leg").over(w)
     both = F.array_compact(F.array(F.col("_leg"), after))
     return d.withColumn("speed", F.when(F.size(both) > 0, F.aggregate(both, F.lit(0.0), lambda s, v: s + v) / F.size(both))).drop("_leg")
