@@ -23,3 +23,11 @@ def test_point_speeds_between_close_points(spark, tmp_path):
     pd.DataFrame(rows).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
     got = sorted(tuple(r) for r in entry.queries()["point_speeds"](spark, str(tmp_path)).collect())
     assert got == _sql("point_speeds", tmp_path, "events")
+
+
+def test_feature_matrix_keeps_signs_of_zeros(spark, tmp_path):
+    v = np.tile([0.25, -1e-7, 1e-7, -0.0, 0.0, -0.5, 2e-7, -4.9e-7], 8).astype(np.float32)
+    pd.DataFrame({"vec_id": [1], "embedding": [v], "label": pd.array([0], "int32")}).to_parquet(tmp_path / "embeddings.parquet")
+    [got] = entry.queries()["feature_matrix"](spark, str(tmp_path)).collect()
+    [want] = _sql("feature_matrix", tmp_path, "embeddings")
+    assert repr(tuple(got)) == repr(want)

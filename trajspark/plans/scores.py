@@ -8,7 +8,7 @@ from ..functions import arrays
 from ..operators import cluster, distance, evaluate, features, resample, signal, stats, tiles
 from ..operators import tracks as side
 from ..operators.graph import components
-from .registry import ORACLE_SQL, TRACKS, VECTORS, query, r, tracks, vectors
+from .registry import ORACLE_SQL, TRACKS, VECTORS, query, r, signed, tracks, vectors
 
 GROUPS = [(0, 7, 4.0), (24, 31, 0.5)]
 _DIST = "list_sum(list_transform(range(1, 65), lambda i: power(a.v[i] - b.v[i], 2)))"
@@ -225,7 +225,7 @@ def distance_scales(spark, d):
 @query(f"with {TRACKS} select flow, flight_id, list(round(x, 6) order by step) as xs, list(round(y, 6) order by step) as ys, count(*) as n from tracks group by flow, flight_id")
 def feature_matrix(spark, d):
     m = features.matrix(tracks(spark, d), ["flow"], "flight_id", ["x", "y"], n_points=32)
-    axis = lambda k: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: r(F.get("v", 2 * i + k)))
+    axis = lambda k: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: signed(F.get("v", 2 * i + k)))
     return m.select("flow", "flight_id", axis(0).alias("xs"), axis(1).alias("ys"), (F.size("v") / 2).cast("long").alias("n"))
 
 
