@@ -137,6 +137,19 @@ def test_no_plan_of_pairs_holds_a_flow(units):
     assert "_i" in plan and "_j" in plan
 
 
+@pytest.mark.parametrize("per_block", [3, 1_024])
+def test_scales_of_pairs_in_two_walks(spark, per_block):
+    rng = np.random.default_rng(3)
+    x = {0: rng.normal(size=(23, 4)), 1: np.ones((6, 4)), 2: rng.normal(size=(2, 4)), 3: rng.normal(size=(1, 4))}
+    rows = [(k, 10 * k + i if k else i - 100, v.tolist()) for k, m in x.items() for i, v in enumerate(m)]
+    got = tiles.pair_scales(spark.createDataFrame(rows, "k int, id long, v array<double>"), ["k"], "id", per_block=per_block)
+    got = {r["k"]: (r["n"], r["mean"], r["median"]) for r in got.collect()}
+    for k in (0, 1, 2):
+        d = [float(np.linalg.norm(a - b)) for a, b in itertools.combinations(x[k], 2)]
+        assert got[k] == pytest.approx((len(d), np.mean(d), np.median(d)))
+    assert set(got) == {0, 1, 2}
+
+
 def test_silhouettes_agree(spark, units):
     lab = units.where("v is not null and flow is not null").withColumn("lab", F.when(F.col("id") % 10 == 9, -1).otherwise((F.col("id") % 100 / 20).cast("int")))
     edges = tiles.pair_distances(units, ["flow"], "id", per_block=9)

@@ -15,9 +15,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from .features import ranked
 
 PER_BLOCK = 1_024
@@ -108,6 +109,50 @@ def pair_distances(df: DataFrame, keys: Sequence[str], unit: str, v: str = "v",
     return _tiles(df, keys, unit, v, [], kernel, f"`{unit}_a` {kind}, `{unit}_b` {kind}, `d` double", per_block)
 
 
+#: Of a distance's 64 bits, those beyond its bin: a bin is 2^-12 of an octave wide.
+_BIN = 40
+
+
+def pair_scales(df: DataFrame, keys: Sequence[str], unit: str, v: str = "v", per_block: int = PER_BLOCK) -> DataFrame:
+    """(keys, n, mean, median) of the distances of all pairs of each group, exactly, in two walks over the tiles.
+
+    The first leaves how many distances fall into each bin of their leading bits, the second the distances of
+    the bins that hold the middle. Runs jobs.
+    """
+
+    def measured(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        take = _pairs_of(a, b, unit, same)[2]
+        d = _distances(_matrix(a[v]), _matrix(b[v]))[take]
+        d[np.isnan(d)] = np.nan  # of one sign, so that bits are ordered like values
+        return d, d.view(np.int64) >> _BIN
+
+    def count(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> dict[str, np.ndarray]:
+        d, at = measured(a, b, same)
+        bins, at, n = np.unique(at, return_inverse=True, return_counts=True)
+        return {"bin": bins, "n": n, "sum": np.bincount(at, d, len(bins))}
+
+    def middle(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> dict[str, np.ndarray]:
+        if not len(a) or not len(b):
+            return {"d": np.zeros(0)}
+        d, at = measured(a, b, same)
+        return {"d": d[(at >= a["_first"].iloc[0]) & (at <= a["_last"].iloc[0])]}
+
+    by = list(keys)
+    bins = cut(_tiles(df, keys, unit, v, [], count, "`bin` long, `n` long, `sum` double", per_block).groupBy(*by, "bin").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum")))
+    before = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    total = bins.groupBy(*by).agg(F.sum("n").alias("total"), (F.sum("sum") / F.sum("n")).alias("mean"))
+    low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
+    holds = lambda k: (F.col("less") <= k) & (k < F.col("less") + F.col("n"))
+    placed = bins.withColumn("less", F.coalesce(F.sum("n").over(before), F.lit(0))).join(total, by)
+    ends = cut(placed.groupBy(*by, "total", "mean").agg(F.min(F.when(holds(low), F.col("bin"))).alias("_first"), F.max(F.when(holds(high), F.col("bin"))).alias("_last"), F.min(F.when(holds(low), F.col("less"))).alias("_less")))
+    near = _tiles(df.join(ends.select(*by, "_first", "_last"), by), keys, unit, v, ["_first", "_last"], middle, "`d` double", per_block)
+    values = near.groupBy(*by, "d").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy(*by).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = values.join(ends, by).withColumn("less", F.coalesce(F.sum("n").over(ahead), F.lit(0)) + F.col("_less"))
+    median = (F.max(F.when(holds(low), F.col("d"))) + F.max(F.when(holds(high), F.col("d")))) / 2
+    return ordered.groupBy(*by, F.col("total").alias("n"), "mean").agg(median.alias("median"))
+
+
 def pair_values(df: DataFrame, keys: Sequence[str], unit: str, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], v: str = "v", name: str = "d", symmetric: bool = True, step: int = 4_096, per_block: int = 256) -> DataFrame:
     """(keys, unit_a < unit_b, ``name``): ``measure`` (rows of a, rows of b) of all pairs of equally long vectors, ``step`` pairs at a time.
 

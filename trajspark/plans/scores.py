@@ -219,7 +219,8 @@ def speed_sensitivity(spark, d):
 
 @query(f"with {_PAIRS} select flow, count(*) as n, round(avg(d), 6) as mean_d, round(median(d), 6) as median_d from pairs group by flow")
 def distance_scales(spark, d):
-    return _pairs(spark, d).groupBy("flow").agg(F.count(F.lit(1)).alias("n"), r(F.avg("d")).alias("mean_d"), r(F.median("d")).alias("median_d"))
+    s = tiles.pair_scales(vectors(spark, d), ["flow"], "flight_id")
+    return s.select("flow", "n", r("mean").alias("mean_d"), r("median").alias("median_d"))
 
 
 @query(f"with {TRACKS} select flow, flight_id, list(round(x, 6) order by step) as xs, list(round(y, 6) order by step) as ys, count(*) as n from tracks group by flow, flight_id")
