@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,24 @@ def test_precomputed_distances_give_the_same_groups(name):
     assert same_groups(lab[lab >= 0], TRUTH[lab >= 0]) and (lab >= 0).mean() > 0.9
 
 
+@pytest.mark.parametrize(
+    ("name", "params"),
+    [
+        ("affinity_propagation", {}),
+    ],
+)
+def test_flows_beyond_a_whole_matrix(monkeypatch, name, params):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 0.4, (70, 6)) + k for k in (0, 1.5, 3)])
+    frame = pd.DataFrame({"flow": 1, "id": range(len(x)), "v": x.tolist()})
+    run = lambda: cluster.flow_labels((1,), frame, ["flow"], "id", "v", name, **params)["cluster_id"].tolist()
+    monkeypatch.setattr(cluster, "distances", lambda x: cluster.Rows(x)[:])
+    held = run()
+    monkeypatch.setattr(cluster, "MOST_UNITS", 20)
+    monkeypatch.setattr(cluster, "_CELLS", 2_000)
+    assert run() == held
+
+
 def test_information_criteria_by_hand():
     x = blobs(duplicates=False)
     details: dict = {}

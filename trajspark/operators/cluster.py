@@ -1,13 +1,14 @@
 """Clustering of the units of each flow; label -1 is noise.
 
-DBSCAN over an edge table is distributed. The others are NumPy kernels that get one flow at a time,
-as a matrix of features or of distances; they need a flow to fit in a task's memory, and say so
-through ``MOST_UNITS`` rather than fail there. Labels are numbered by their first unit.
+DBSCAN over an edge table is distributed. The others are NumPy kernels that get one flow at a time, as a
+matrix of features or of distances. Up to ``MOST_UNITS`` units distances are held; beyond that ``Rows`` computes
+them from the features as they are asked for, so that memory grows with a flow's units and not with their
+square, while time still does. Labels are numbered by their first unit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from .graph import components
 #: Bytes that one flow's matrices may take in a task, and how many of its size the kernels hold at once.
 MATRIX_BYTES = 1 << 30
 MATRICES = 4
-#: Hence the largest flow that a kernel takes.
+#: Hence the largest flow whose matrix of distances is held.
 MOST_UNITS = int((MATRIX_BYTES / MATRICES / 8) ** 0.5)
 
 
@@ -58,6 +59,67 @@ def distances(x: np.ndarray) -> np.ndarray:
     return d
 
 
+#: Distances that a kernel looks at in one step.
+_CELLS = 4 << 20
+
+
+class Rows:
+    """Distances of feature vectors, row by row where they are asked for: d[i], or d[a:b].
+
+    From differences, so that a pair has the same distance from both sides and in every row it is part of.
+    """
+
+    def __init__(self, x: np.ndarray):
+        self.x = np.ascontiguousarray(x, float)
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def _row(self, i: int) -> np.ndarray:
+        y = self.x - self.x[i]
+        return np.sqrt(np.einsum("ij,ij->i", y, y))
+
+    def __getitem__(self, i: int | slice) -> np.ndarray:
+        return np.array([self._row(k) for k in range(*i.indices(len(self)))]) if isinstance(i, slice) else self._row(i)
+
+
+class SparseRows:
+    """Rows of a table of pairs (places i, j and d): an absent pair is ``far``."""
+
+    def __init__(self, n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, far: float):
+        u, v, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
+        order = np.argsort(u, kind="stable")
+        self.n, self.far, self.at, self.d = n, far, v[order], d[order]
+        self.starts = np.searchsorted(u[order], np.arange(n + 1))
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _row(self, i: int) -> np.ndarray:
+        row, of = np.full(self.n, self.far), slice(self.starts[i], self.starts[i + 1])
+        row[self.at[of]] = self.d[of]
+        row[i] = 0
+        return row
+
+    def __getitem__(self, i: int | slice) -> np.ndarray:
+        return np.array([self._row(k) for k in range(*i.indices(self.n))]) if isinstance(i, slice) else self._row(i)
+
+
+def parts(n: int, width: int) -> Iterator[slice]:
+    """Slices of ``n`` rows of ``width`` numbers, each of ``_CELLS`` numbers at most, a row at least."""
+    step = max(1, _CELLS // max(1, width))
+    return (slice(a, min(n, a + step)) for a in range(0, n, step))
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([((x[p, None, :] - centres[None]) ** 2).sum(2).argmin(1) for p in parts(len(x), centres.size)])
+
+
+def kth_least(d: np.ndarray | Rows | SparseRows, k: int) -> np.ndarray:
+    """Each unit's ``k``-th least distance, its own 0 included."""
+    return np.concatenate([np.partition(d[p], k - 1, axis=1)[:, k - 1] for p in parts(len(d), len(d))])
+
+
 def spread_seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """``k`` units, each drawn with the square of its distance to the ones before."""
     centres = [x[rng.integers(len(x))]]
@@ -89,12 +151,13 @@ def minibatch_kmeans(x: np.ndarray, n_clusters: int = 8, batch_size: int = 256,
             m = lab == k
             n[k] += m.sum()
             c[k] += (part[m].mean(0) - c[k]) * m.sum() / n[k]
-    return ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
+    return nearest_centre(x, c)
 
 
-def dbscan(d: np.ndarray, eps: float = 0.5, min_samples: int = 5) -> np.ndarray:
-    near = d <= eps
-    core = near.sum(1) >= min_samples
+def dbscan(d: np.ndarray | Rows | SparseRows, eps: float = 0.5, min_samples: int = 5) -> np.ndarray:
+    if not len(d):
+        return np.zeros(0, int)
+    core = np.concatenate([(d[p] <= eps).sum(1) for p in parts(len(d), len(d))]) >= min_samples
     lab, k = np.full(len(d), -1), 0
     for i in range(len(d)):
         if core[i] and lab[i] < 0:
@@ -103,17 +166,17 @@ def dbscan(d: np.ndarray, eps: float = 0.5, min_samples: int = 5) -> np.ndarray:
             while stack:
                 j = stack.pop()
                 if core[j]:
-                    new = np.flatnonzero(near[j] & (lab < 0))
+                    new = np.flatnonzero((d[j] <= eps) & (lab < 0))
                     lab[new] = k
                     stack += new.tolist()
             k += 1
     return lab
 
 
-def optics_order(d: np.ndarray, min_samples: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def optics_order(d: np.ndarray | Rows | SparseRows, min_samples: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, reachability, core distance)."""
     n = len(d)
-    core = np.sort(d, axis=1)[:, min(min_samples, n) - 1] if n >= min_samples else np.full(n, np.inf)
+    core = kth_least(d, min(min_samples, n)) if n >= min_samples and n else np.full(n, np.inf)
     reach, done, order = np.full(n, np.inf), np.zeros(n, bool), []
     for _ in range(n):
         open_ = np.flatnonzero(~done)
@@ -125,7 +188,7 @@ def optics_order(d: np.ndarray, min_samples: int = 5) -> tuple[np.ndarray, np.nd
     return np.array(order), reach, core
 
 
-def optics(d: np.ndarray, min_samples: int = 5, xi: float = 0.05, min_cluster_size: float | None = None) -> np.ndarray:
+def optics(d: np.ndarray | Rows | SparseRows, min_samples: int = 5, xi: float = 0.05, min_cluster_size: float | None = None) -> np.ndarray:
     """Clusters from the reachability plot by steep areas: the smallest xi-clusters win over those that hold them."""
     order, reach, _ = optics_order(d, min_samples)
     r = np.append(reach[order], np.inf)
@@ -189,7 +252,7 @@ def optics(d: np.ndarray, min_samples: int = 5, xi: float = 0.05, min_cluster_si
     return out
 
 
-def hdbscan(d: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None, method: str = "eom", details: dict | None = None) -> np.ndarray:
+def hdbscan(d: np.ndarray | Rows | SparseRows, min_cluster_size: int = 5, min_samples: int | None = None, method: str = "eom", details: dict | None = None) -> np.ndarray:
     """Clusters of most stability in the condensed tree of the mutual-reachability spanning tree.
 
     ``details`` gets the tree's edges (mst), the membership probabilities and each cluster's persistence.
@@ -198,14 +261,14 @@ def hdbscan(d: np.ndarray, min_cluster_size: int = 5, min_samples: int | None =
     if n < 2:
         return np.full(n, -1)
     k = min(min_samples or min_cluster_size, n)
-    core = np.sort(d, axis=1)[:, k - 1]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    core = kth_least(d, k)
     inside, best, link, mst = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
     at = 0
     for _ in range(n - 1):
         inside[at] = True
-        closer = ~inside & (reach[at] < best)
-        best[closer], link[closer] = reach[at][closer], at
+        reach = np.maximum(d[at], np.maximum(core[at], core))
+        closer = ~inside & (reach < best)
+        best[closer], link[closer] = reach[closer], at
         at = int(np.where(inside, np.inf, best).argmin())
         mst.append((int(link[at]), at, float(best[at])))
     # Single linkage: node n + i joins two nodes at mst weight i.
@@ -292,8 +355,64 @@ def hdbscan(d: np.ndarray, min_cluster_size: int = 5, min_samples: int | None =
     return lab
 
 
-def agglomerative(d: np.ndarray, n_clusters: int = 2, linkage: str = "average") -> np.ndarray:
+def linkage_chain(d: np.ndarray | Rows | SparseRows, n_clusters: int, linkage: str) -> np.ndarray:
+    """The same merging by a chain of nearest neighbours, over one half of the matrix: 4 bytes times n squared."""
+    n = len(d)
+    m = np.empty(n * (n - 1) // 2)
+    base = np.arange(n) * (2 * n - np.arange(n) - 1) // 2 - np.arange(n) - 1  # where row i's column j is, less j
+    for p in parts(n, n):
+        for i, row in zip(range(p.start, p.stop), d[p], strict=True):
+            m[base[i] + i + 1 : base[i] + n] = row[i + 1 :] ** 2 if linkage == "ward" else row[i + 1 :]
+    alive, size, first, merges, chain = np.arange(n), np.ones(n), 0, [], []
+    gone = np.zeros(n, bool)
+
+    def places(i: int) -> np.ndarray:
+        other = alive[alive != i]
+        return other, np.where(other < i, base[other] + i, base[i] + other)
+
+    while len(merges) < n - 1:
+        if not chain:
+            while gone[first]:
+                first += 1
+            chain.append(first)
+        i = chain[-1]
+        other, at = places(i)
+        row = m[at]
+        k = int(row.argmin())
+        if len(chain) > 1:
+            back = int(np.searchsorted(other, chain[-2]))
+            if row[back] <= row[k]:
+                j = chain[-2]
+                del chain[-2:]
+                h = row[back]
+                i, j = min(i, j), max(i, j)
+                merges.append((float(h), i, j))
+                gone[j] = True
+                ours, to = places(i)
+                to = to[ours != j]
+                theirs, by = places(j)
+                by = by[theirs != i]
+                o = ours[ours != j]
+                a, b = m[to], m[by]
+                if linkage == "single":
+                    m[to] = np.minimum(a, b)
+                elif linkage == "complete":
+                    m[to] = np.maximum(a, b)
+                elif linkage == "ward":
+                    m[to] = ((size[i] + size[o]) * a + (size[j] + size[o]) * b - size[o] * h) / (size[i] + size[j] + size[o])
+                else:
+                    m[to] = (size[i] * a + size[j] * b) / (size[i] + size[j])
+                size[i] += size[j]
+                alive = alive[alive != j]
+                continue
+        chain.append(int(other[k]))
+    return cut_tree(n, merges, n_clusters)
+
+
+def agglomerative(d: np.ndarray | Rows | SparseRows, n_clusters: int = 2, linkage: str = "average") -> np.ndarray:
     """Lance-Williams merging; 'ward' takes Euclidean distances."""
+    if isinstance(d, Rows):
+        return ward_chain(d.x, n_clusters) if linkage == "ward" else linkage_chain(d, n_clusters, linkage)
     n = len(d)
     m = (d**2 if linkage == "ward" else d).astype(float).copy()
     np.fill_diagonal(m, np.inf)
@@ -318,31 +437,107 @@ def agglomerative(d: np.ndarray, n_clusters: int = 2, linkage: str = "average")
     return lab
 
 
+def ward_chain(x: np.ndarray, n_clusters: int) -> np.ndarray:
+    """Ward's merging of points by a chain of nearest neighbours: clusters are centroids, no matrix is held.
+
+    Each merge is of two clusters that are each other's nearest, which gives the tree that merging the nearest
+    of all gives; cut where ``n_clusters`` are left.
+    """
+    n = len(x)
+    c, size, alive, first = x.astype(float).copy(), np.ones(n), np.ones(n, bool), 0
+    merges, chain = [], []
+    while len(merges) < n - 1:
+        if not chain:
+            while not alive[first]:
+                first += 1
+            chain.append(first)
+        i = chain[-1]
+        d = ((c - c[i]) ** 2).sum(1) * (2 * size * size[i] / (size + size[i]))
+        d[~alive] = d[i] = np.inf
+        j = int(d.argmin())
+        if len(chain) > 1 and d[chain[-2]] <= d[j]:
+            j = chain[-2]
+            del chain[-2:]
+            i, j = min(i, j), max(i, j)
+            merges.append((float(d[j] if np.isfinite(d[j]) else d[i]), i, j))
+            c[i] = (size[i] * c[i] + size[j] * c[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            alive[j] = False
+        else:
+            chain.append(j)
+    return cut_tree(n, merges, n_clusters)
+
+
+def cut_tree(n: int, merges: list[tuple[float, int, int]], n_clusters: int) -> np.ndarray:
+    """Labels after the least of the (height, i, j) merges, as many as leave ``n_clusters``; i, j are members."""
+    parent = list(range(n))
+
+    def find(a: int) -> int:
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: n - min(n_clusters, n)]:
+        parent[find(j)] = find(i)
+    return np.array([find(i) for i in range(n)])
+
+
 def birch(x: np.ndarray, n_clusters: int | None = 3, threshold: float = 0.5) -> np.ndarray:
     """Subclusters of bounded radius in one pass, then Ward merging of their centroids."""
-    sums, squares, n, owner = [], [], [], np.zeros(len(x), int)
-    for i, p in enumerate(x):
-        if n:
-            c = np.array(sums) / np.array(n)[:, None]
-            k = int(((c - p) ** 2).sum(1).argmin())
-            s, q, m = sums[k] + p, squares[k] + p @ p, n[k] + 1
-            if np.sqrt(max(0.0, q / m - (s / m) @ (s / m))) <= threshold:
-                sums[k], squares[k], n[k], owner[i] = s, q, m, k
+    sums, squares, n, owner, most = np.empty((64, x.shape[1])), np.empty(64), np.empty(64), np.zeros(len(x), int), 0
+    centres = np.empty_like(sums)
+    for i, p in enumerate(x.astype(float)):
+        if most:
+            k = int(((centres[:most] - p) ** 2).sum(1).argmin())
+            t, q, m = sums[k] + p, squares[k] + p @ p, n[k] + 1
+            if np.sqrt(max(0.0, q / m - (t / m) @ (t / m))) <= threshold:
+                sums[k], squares[k], n[k], owner[i], centres[k] = t, q, m, k, t / m
                 continue
-        sums.append(p.astype(float))
-        squares.append(float(p @ p))
-        n.append(1)
-        owner[i] = len(n) - 1
-    if n_clusters is None or len(n) <= n_clusters:
+        if most == len(n):
+            sums, centres = np.concatenate([sums, sums]), np.concatenate([centres, centres])
+            squares, n = np.concatenate([squares, squares]), np.concatenate([n, n])
+        sums[most], centres[most], squares[most], n[most], owner[i] = p, p, p @ p, 1, most
+        most += 1
+    if n_clusters is None or most <= n_clusters:
         return owner
-    return agglomerative(distances(np.array(sums) / np.array(n)[:, None]), n_clusters, "ward")[owner]
-
-
-def spectral(d: np.ndarray, n_clusters: int = 8, gamma: float = 1.0, seed: int = 0) -> np.ndarray:
-    a = np.exp(-gamma * d**2)
-    deg = np.sqrt(a.sum(1))
-    _, v = np.linalg.eigh(a / deg[:, None] / deg[None, :])
-    return kmeans(v[:, -n_clusters:] / deg[:, None], n_clusters, seed)
+    if most <= MOST_UNITS // 4:  # merging by a whole matrix takes time with the cube
+        return agglomerative(distances(centres[:most]), n_clusters, "ward")[owner]
+    return ward_chain(centres[:most], n_clusters)[owner]
+
+
+def top_vectors(n: int, times: Callable[[np.ndarray], np.ndarray], k: int, block: int = 32, seed: int = 0) -> np.ndarray:
+    """Eigenvectors of the ``k`` largest eigenvalues, ascending, of a symmetric matrix known by its products: block Krylov to 1e-10."""
+    block = min(max(block, 2 * k), n)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, block)))[0]
+    image = times(basis)
+    while True:
+        w, y = np.linalg.eigh((lambda h: (h + h.T) / 2)(basis.T @ image))
+        v, mv = basis @ y[:, -k:], image @ y[:, -k:]
+        if basis.shape[1] >= n or np.abs(mv - v * w[-k:]).max() <= 1e-10 * max(1.0, abs(w[-1])):
+            return v
+        new = image[:, -block:]
+        for _ in range(2):  # twice, so that it is orthogonal to rounding
+            new = new - basis @ (basis.T @ new)
+        new = np.linalg.qr(new)[0]
+        new = np.linalg.qr(new - basis @ (basis.T @ new))[0][:, : n - basis.shape[1]]
+        basis, image = np.hstack([basis, new]), np.hstack([image, times(new)])
+
+
+def spectral(d: np.ndarray | Rows | SparseRows, n_clusters: int = 8, gamma: float = 1.0, seed: int = 0) -> np.ndarray:
+    if not isinstance(d, Rows):
+        a = np.exp(-gamma * d**2)
+        deg = np.sqrt(a.sum(1))
+        _, v = np.linalg.eigh(a / deg[:, None] / deg[None, :])
+        return kmeans(v[:, -n_clusters:] / deg[:, None], n_clusters, seed)
+    n, x, s = len(d), d.x, (d.x * d.x).sum(1)
+
+    def times(m: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.exp(-gamma * np.maximum(s[p, None] + s - 2 * x[p] @ x.T, 0)) @ m for p in parts(n, n)])
+
+    deg = np.sqrt(times(np.ones((n, 1))))
+    v = top_vectors(n, lambda m: times(m / deg) / deg, n_clusters)
+    return kmeans(v / deg, n_clusters, seed)
 
 
 def gmm(x: np.ndarray, n_components: int = 2, seed: int = 0, iterations: int = 100, details: dict | None = None) -> np.ndarray:
@@ -374,21 +569,32 @@ def gmm(x: np.ndarray, n_components: int = 2, seed: int = 0, iterations: int = 1
 
 
 def mean_shift(x: np.ndarray, bandwidth: float | None = None, quantile: float = 0.3, iterations: int = 300) -> np.ndarray:
-    d = distances(x)
-    h = bandwidth or float(np.sort(d, axis=1)[:, max(1, int(len(x) * quantile)) - 1].mean()) or 1.0
-    modes = x.astype(float).copy()
+    x = x.astype(float)
+    h = bandwidth or float(kth_least(distances(x) if len(x) <= MOST_UNITS else Rows(x), max(1, int(len(x) * quantile))).mean()) or 1.0
+    modes, s, live = x.copy(), (x * x).sum(1), np.arange(len(x))
+
+    def near(m: np.ndarray) -> np.ndarray:
+        if len(x) <= MOST_UNITS:
+            return ((m[:, None, :] - x[None]) ** 2).sum(2) <= h * h
+        return (m * m).sum(1)[:, None] + s - 2 * m @ x.T <= h * h
+
+    steps = lambda n: parts(n, x.size if len(x) <= MOST_UNITS else len(x))
     for _ in range(iterations):
-        near = ((modes[:, None, :] - x[None]) ** 2).sum(2) <= h * h
-        new = (near @ x) / np.maximum(near.sum(1), 1)[:, None]
-        moved, modes = np.abs(new - modes).max(), new
-        if moved < 1e-3 * h:
+        moved = np.zeros(len(live))
+        for p in steps(len(live)):
+            at = near(modes[live[p]])
+            new = (at @ x) / np.maximum(at.sum(1), 1)[:, None]
+            moved[p] = np.abs(new - modes[live[p]]).max(1)
+            modes[live[p]] = new
+        if moved.max(initial=0.0) < 1e-3 * h:
             break
-    weight = (((modes[:, None, :] - x[None]) ** 2).sum(2) <= h * h).sum(1)
-    centres = []
+        live = live[moved > 0]  # a mode that did not move has come to rest
+    weight = np.concatenate([near(modes[p]).sum(1) for p in steps(len(x))])
+    centres = np.empty((0, x.shape[1]))
     for i in np.argsort(-weight, kind="stable"):
-        if all(np.linalg.norm(modes[i] - c) >= h for c in centres):
-            centres.append(modes[i])
-    return ((x[:, None, :] - np.array(centres)[None]) ** 2).sum(2).argmin(1)
+        if (np.sqrt(((modes[i] - centres) ** 2).sum(1)) >= h).all():
+            centres = np.vstack([centres, modes[i]])
+    return nearest_centre(x, centres)
 
 
 def affinity_propagation(x: np.ndarray, damping: float = 0.7, preference: float | None = None, iterations: int = 200, sample: int = 2_000, seed: int = 0) -> np.ndarray:
@@ -417,7 +623,7 @@ def affinity_propagation(x: np.ndarray, damping: float = 0.7, preference: float
     exemplars = np.flatnonzero(np.diag(a + r) > 0)
     if not len(exemplars):
         return np.full(len(x), -1)
-    return ((x[:, None, :] - x[at[exemplars]][None]) ** 2).sum(2).argmin(1)
+    return nearest_centre(x, x[at[exemplars]])
 
 
 def classical_mds(d: np.ndarray, dims: int = 8) -> np.ndarray:
@@ -457,7 +663,7 @@ def clusterer(name: str, **params) -> Callable[[np.ndarray, bool], np.ndarray]:
 
     def fit(m: np.ndarray, precomputed: bool = False) -> np.ndarray:
         if takes == "d":
-            return by_first(kernel(m if precomputed else distances(m), **params))
+            return by_first(kernel(m if precomputed else distances(m) if len(m) <= MOST_UNITS else Rows(m), **params))
         return by_first(kernel(classical_mds(m) if precomputed else m, **params))
 
     return fit
@@ -502,6 +708,15 @@ def audit(name: str, n_clusters: int = 4, **params) -> Callable[[np.ndarray, boo
     return fit
 
 
+def flow_labels(key: tuple, b: pd.DataFrame, keys: Sequence[str], unit: str, vector: str, name: str, max_clusters: int | None = None, **params) -> pd.DataFrame:
+    """(keys, unit, cluster_id) of one flow's rows, units in order."""
+    b = b.sort_values(unit)
+    lab = clusterer(name, **params)(np.array(b[vector].tolist(), float), False)
+    if max_clusters is not None:
+        lab = np.where(lab < max_clusters, lab, -1)
+    return b[[*keys, unit]].assign(cluster_id=lab.astype(np.int32))
+
+
 def cluster_flows(features: DataFrame, keys: Sequence[str], unit: str, vector: str, name: str, max_clusters: int | None = None, overrides: dict[tuple, dict] | None = None, **params) -> DataFrame:
     """(keys, unit, cluster_id) by a named clusterer over each flow's feature vectors, units in order.
 
@@ -510,13 +725,6 @@ def cluster_flows(features: DataFrame, keys: Sequence[str], unit: str, vector: s
     schema = ", ".join(f"`{c}` {t}" for c, t in features.select(*keys, unit).dtypes) + ", cluster_id int"
 
     def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        if len(b) > MOST_UNITS:
-            raise ValueError(f"{len(b)} units in flow {key}; use dbscan_edges or MLlib beyond {MOST_UNITS}")
-        b = b.sort_values(unit)
-        own = {**params, **(overrides or {}).get(tuple(key), {})}
-        lab = clusterer(name, **own)(np.array(b[vector].tolist(), float), False)
-        if max_clusters is not None:
-            lab = np.where(lab < max_clusters, lab, -1)
-        return b[[*keys, unit]].assign(cluster_id=lab.astype(np.int32))
+        return flow_labels(key, b, keys, unit, vector, name, max_clusters, **{**params, **(overrides or {}).get(tuple(key), {})})
 
     return features.withColumn(vector, F.col(vector).cast("array<double>")).select(*keys, unit, vector).groupBy(*keys).applyInPandas(run, schema)
