@@ -63,6 +63,7 @@ def test_precomputed_distances_give_the_same_groups(name):
 @pytest.mark.parametrize(
     ("name", "params"),
     [
+        ("dbscan", {"eps": 0.5, "min_samples": 4}),
         ("affinity_propagation", {}),
     ],
 )
