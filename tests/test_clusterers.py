@@ -66,6 +66,10 @@ def test_precomputed_distances_give_the_same_groups(name):
         ("kmeans", {"n_clusters": 3}),
         ("dbscan", {"eps": 0.5, "min_samples": 4}),
         ("optics", {"min_samples": 4, "xi": 0.02}),
+        ("agglomerative", {"n_clusters": 7, "linkage": "average"}),
+        ("agglomerative", {"n_clusters": 7, "linkage": "single"}),
+        ("agglomerative", {"n_clusters": 7, "linkage": "complete"}),
+        ("agglomerative", {"n_clusters": 7, "linkage": "ward"}),
         ("affinity_propagation", {}),
     ],
 )
