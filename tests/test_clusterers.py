@@ -71,6 +71,7 @@ def test_precomputed_distances_give_the_same_groups(name):
         ("agglomerative", {"n_clusters": 7, "linkage": "complete"}),
         ("agglomerative", {"n_clusters": 7, "linkage": "ward"}),
         ("gmm", {"n_components": 2}),
+        ("meanshift", {}),
         ("affinity_propagation", {}),
     ],
 )
