@@ -70,6 +70,7 @@ def test_precomputed_distances_give_the_same_groups(name):
         ("agglomerative", {"n_clusters": 7, "linkage": "single"}),
         ("agglomerative", {"n_clusters": 7, "linkage": "complete"}),
         ("agglomerative", {"n_clusters": 7, "linkage": "ward"}),
+        ("birch", {"n_clusters": 3, "threshold": 0.3}),
         ("spectral", {"n_clusters": 3}),
         ("gmm", {"n_components": 2}),
         ("meanshift", {}),
