@@ -92,6 +92,24 @@ def test_flows_beyond_a_whole_matrix(monkeypatch, name, params):
     assert run() == held
 
 
+def test_components_beyond_a_whole_matrix(spark, monkeypatch):
+    x = blobs(n=30, duplicates=False)
+    e = [(0, i, j, float(np.linalg.norm(x[i] - x[j]))) for i, j in itertools.combinations(range(len(x)), 2)]
+    e = [r for r in e if r[3] < 0.35 or r[2] == r[1] + 1]
+    d = np.full((len(x), len(x)), 2 * max(r[3] for r in e) + 1)
+    for _, i, j, v in e:
+        d[i, j] = d[j, i] = v
+    np.fill_diagonal(d, 0)
+    want = cluster.by_first(cluster.hdbscan(d, min_cluster_size=4, min_samples=3))
+    edges = spark.createDataFrame(e, "flow int, id_a long, id_b long, d double")
+    units = spark.createDataFrame([(0, i) for i in range(len(x))], "flow int, id long")
+    monkeypatch.setattr(cluster, "MOST_UNITS", 20)
+    i, j, v = (np.array([r[k] for r in e]) for k in (1, 2, 3))
+    assert cluster.by_first(cluster.hdbscan(cluster.SparseRows(len(x), i, j, v, d.max()), min_cluster_size=4, min_samples=3)).tolist() == want.tolist()
+    got = matrix.cluster_components(units, edges, ["flow"], "id", min_cluster_size=4, min_samples=3).orderBy("id").collect()
+    assert [r["cluster_id"] for r in got] == want.tolist()
+
+
 def test_information_criteria_by_hand():
     x = blobs(duplicates=False)
     details: dict = {}

@@ -118,10 +118,9 @@ def cluster_components(units: DataFrame, edges: DataFrame, keys: Sequence[str],
 
     def run(e: pd.DataFrame) -> pd.DataFrame:
         own = np.unique(np.concatenate([e[a].to_numpy(), e[b].to_numpy()]))
-        if len(own) > cluster.MOST_UNITS:
-            raise ValueError(f"{len(own)} units in one component; thin the table or use dbscan_edges")
         far = 2 * e["d"].max() + 1
-        lab = cluster.hdbscan(_square(own, e, a, b, far), **params) if len(own) >= params.get("min_cluster_size", 5) else np.full(len(own), -1)
+        d = cluster.SparseRows(len(own), np.searchsorted(own, e[a]), np.searchsorted(own, e[b]), e["d"].to_numpy(), far)
+        lab = cluster.hdbscan(d, **params) if len(own) >= params.get("min_cluster_size", 5) else np.full(len(own), -1)
         lab = cluster.by_first(lab)
         first = {c: own[np.flatnonzero(lab == c)[0]] for c in range(lab.max() + 1)}
         return pd.DataFrame({**{k: [e[k].iloc[0]] * len(own) for k in keys}, unit: own, "_first": [first.get(c) for c in lab]}).astype({"_first": "Int64"})
