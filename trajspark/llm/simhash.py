@@ -8,7 +8,8 @@ the Hamming distance. Segments shared by more than ``HOT`` distinct fingerprints
 by the same variants of the other segment's halves, so that no bucket holds a large group.
 
 Fingerprints are distinct before they are joined: copies never meet in pairs, and a group of any
-size costs one row. Links become components by alternating large-star and small-star steps.
+size costs one row. Links become components by alternating large-star and small-star steps. Tables of a
+row for each fingerprint, component or document are merged, never broadcast, so that the driver holds none of them.
 
 Defined results. Null and empty texts, and texts without a word, have fingerprint zero and link like
 any other. A null doc_id takes part; it sorts before all others and shows as a null component_id.
@@ -98,7 +99,7 @@ def _meet(rows: DataFrame, keys: list[str]) -> DataFrame:
     bits = [c for c in rows.columns if c.startswith("bit")]
     lead = bits[0]
     ordered = F.when(F.col(f"a.{lead}") >= 0, F.col(f"a.{lead}") < F.col(f"b.{lead}")).otherwise(F.col("a.fp") < F.col("b.fp"))
-    met = a.join(b, on).where(ordered)
+    met = a.join(b.hint("merge"), on).where(ordered)
     for c in bits[1:]:
         met = met.where((F.col(f"a.{c}") != F.col(f"b.{c}")) | (F.col(f"a.{c}") < 0))
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= MOST_BITS
@@ -138,16 +139,16 @@ def _owners(prints: DataFrame) -> DataFrame:
     nodes = cut(nodes)
     dealt = nodes.select("fp").repartition(1 << shard_bits(nodes.count(), _DEALT, 3), "fp")
     roots = components(links(dealt)).withColumnsRenamed({"node": "fp"})
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = nodes.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
+    return rooted.select("fp", "root").join(ids.hint("merge"), "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
     prints = cut(fingerprints(docs))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(_owners(prints), "fp").select("doc_id", hexed.alias("fingerprint"), F.when(F.col("component_id") != _NO_ID, F.col("component_id")).alias("component_id"))
+    return prints.join(_owners(prints).hint("merge"), "fp").select("doc_id", hexed.alias("fingerprint"), F.when(F.col("component_id") != _NO_ID, F.col("component_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
