@@ -34,7 +34,7 @@ def _docs(spark):
     return spark.createDataFrame([*rows, (90, rows[0][1]), (91, None)], "doc_id long, text string")
 
 
-@pytest.mark.parametrize("query", [simhash.near_duplicates])
+@pytest.mark.parametrize("query", [simhash.near_duplicates, simhash.keep_first])
 def test_nothing_is_broadcast(spark, plans, query):
     df = query(_docs(spark))
     assert df.count() == (92 if query is simhash.near_duplicates else df.select("doc_id").distinct().count())

@@ -158,11 +158,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     prints = cut(fingerprints(docs))
     keyed = prints.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "hash", "fp").groupBy("id", "hash", "fp").agg(F.count(F.lit(1)).alias("n"))
-    first = keyed.join(_owners(prints), "fp").groupBy("root").agg(F.min(F.struct("id", "hash", "n")).alias("f"))
+    first = keyed.join(_owners(prints).hint("merge"), "fp").groupBy("root").agg(F.min(F.struct("id", "hash", "n")).alias("f"))
     key, text, times = (unused(docs.columns, c) for c in ("id", "hash", "n"))
     first = cut(first.select(F.col("f.id").alias(key), F.col("f.hash").alias(text), F.col("f.n").alias(times)))
     rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), text: F.xxhash64("text")})
-    kept = rows.join(first.where(F.col(times) == 1), [key, text], "left_semi").select(*own(docs))
+    kept = rows.join(first.where(F.col(times) == 1).hint("merge"), [key, text], "left_semi").select(*own(docs))
     again = first.where(F.col(times) > 1)
     if again.isEmpty():
         return kept
