@@ -47,3 +47,52 @@ def test_lcss_is_the_textbook_one(n, m):
             share += g[n, m] / least
         want.append(min(max(1 - share / 2, 0), 1))
     assert distance.lcss(a, b, 0.7, 0.3) == pytest.approx(want)
+
+
+def textbook(x, y, radius, diagonal, cost, better):
+    g = np.full((len(x), len(y)), np.inf)
+    for i in range(len(x)):
+        for j in range(len(y)):
+            if abs(i - j) > radius:
+                continue
+            c = cost(x[i], y[j])
+            before = [g[p, q] for p, q in ((i - 1, j), (i, j - 1)) if p >= 0 and q >= 0]
+            corner = g[i - 1, j - 1] if i and j else np.inf
+            g[i, j] = c if i == j == 0 else better(c, min([np.inf, *before]), corner, diagonal)
+    return g[-1, -1]
+
+
+def euclid(p, q):
+    return np.sqrt(((p - q) ** 2).sum())
+
+
+@pytest.mark.parametrize("n,m", [(1, 1), (1, 6), (5, 9), (9, 5), (32, 32)])
+@pytest.mark.parametrize("radius", [None, 0, 1, 4])
+def test_warping_is_the_textbook_one(n, m, radius):
+    rng = np.random.default_rng(n + m)
+    a, b = rng.normal(size=(5, n, 2)), rng.normal(size=(5, m, 2))
+    add = lambda c, beside, corner, diagonal: min(beside + c, corner + diagonal * c)
+    r = max(n, m) if radius is None else radius
+    for pattern, diagonal in (("symmetric2", 2), ("symmetric1", 1)):
+        want = [textbook(x, y, r, diagonal, euclid, add) for x, y in zip(a, b, strict=True)]
+        assert distance.dtw(a, b, pattern, radius) == pytest.approx(want)
+    want = [np.sqrt(textbook(x, y, max(r, abs(n - m)), 1, lambda p, q: euclid(p, q) ** 2, add)) for x, y in zip(a, b, strict=True)]
+    assert distance.dtw(a, b, "symmetric1", radius, "squared", True) == pytest.approx(want)
+
+
+def held(f, *args):
+    import tracemalloc
+
+    tracemalloc.start()
+    f(*args)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+@pytest.mark.parametrize("name", ["dtw"])
+def test_warping_holds_no_table_of_costs(name):
+    """What it holds does not grow with the pairs, as it takes them in parts that stay in the caches."""
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, 8_192, 32, 2))
+    assert held(distance.metric(name), a, b) < 8 * 8_192 * 32 * 32 / 4

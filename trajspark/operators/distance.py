@@ -1,6 +1,6 @@
 """Elastic distances between tracks: NumPy kernels over batches of pairs, one dynamic program for all of them.
 
-A batch holds pairs of one shape; the program runs over cells and is vectorised across the pairs.
+A batch holds pairs of one shape; the program runs over antidiagonals and is vectorised along them and across the pairs.
 Tracks are flat arrays x0, y0, x1, y1, ... of ``dims`` coordinates.
 """
 
@@ -22,6 +22,46 @@ def _costs(a: np.ndarray, b: np.ndarray, squared: bool) -> np.ndarray:
     return d if squared else np.sqrt(d)
 
 
+#: Pairs that go through a dynamic program together, few enough for the caches.
+_PAIRS = 1_024
+
+
+def _last_cells(a: np.ndarray, b: np.ndarray, radius: int, root: bool, step: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The last cell of each pair's dynamic program; cells farther than ``radius`` from the diagonal are infinite.
+
+    ``step`` gets (costs, least of the cells above and to the left, cells before on the diagonal) and may overwrite them. Costs
+    are squared distances or, with ``root``, distances. Points lead and pairs trail: an antidiagonal is a slice of the one
+    track and a slice of the other one backwards.
+    """
+    (p, n, dims), m = a.shape, b.shape[1]
+    out = np.full(p, _INF)
+    if abs(n - m) > radius:
+        return out
+    for start in range(0, p, _PAIRS):
+        x = np.ascontiguousarray(a[start : start + _PAIRS].transpose(2, 1, 0))
+        y = np.ascontiguousarray(b[start : start + _PAIRS, ::-1].transpose(2, 1, 0))
+        w = x.shape[2]
+        before, last, now = (np.full((n + 2, w), _INF) for _ in range(3))  # point i is in row i + 1
+        room, more, near = (np.empty((min(n, m), w)) for _ in range(3))
+        for k in range(n + m - 1):
+            lo, hi = max(0, k - m + 1, (k - radius + 1) // 2), min(n, k + 1, (k + radius) // 2 + 1)
+            now[lo], now[hi + 1] = _INF, _INF
+            if lo < hi:
+                at = slice(m - 1 - k + lo, m - 1 - k + hi)
+                c, other, least = room[: hi - lo], more[: hi - lo], near[: hi - lo]
+                for dim in range(dims):
+                    d = np.subtract(x[dim, lo:hi], y[dim, at], out=other if dim else c)
+                    np.multiply(d, d, out=d)
+                    if dim:
+                        c += d
+                if root:
+                    np.sqrt(c, out=c)
+                now[lo + 1 : hi + 1] = step(c, np.minimum(last[lo:hi], last[lo + 1 : hi + 1], out=least), before[lo:hi]) if k else c
+            before, last, now = last, now, before
+        out[start : start + w] = last[n]
+    return out
+
+
 def dtw(a: np.ndarray, b: np.ndarray, pattern: str = "symmetric2", window: int | None = None, cost: str = "euclid", widen: bool = False) -> np.ndarray:
     """Warping distance of each pair of (pairs, points, dims) arrays.
 
@@ -29,26 +69,20 @@ def dtw(a: np.ndarray, b: np.ndarray, pattern: str = "symmetric2", window: int |
     infinite distances mean that it admits no path; ``widen`` raises it to the difference of the lengths. With cost
     'squared' the result is the root of the summed squares.
     """
-    d = _costs(a, b, cost == "squared")
-    p, n, m = d.shape
+    n, m = a.shape[1], b.shape[1]
     r = max(n, m) if window is None else max(window, abs(n - m)) if widen else window
-    diag = 2.0 if pattern == "symmetric2" else 1.0
-    prev = np.full((p, m), _INF)
-    for i in range(n):
-        row = np.full((p, m), _INF)
-        for j in range(max(0, i - r), min(m, i + r + 1)):
-            c = d[:, i, j]
-            if i == 0 and j == 0:
-                row[:, 0] = c
-                continue
-            best = prev[:, j] + c if i else np.full(p, _INF)
-            if j:
-                best = np.minimum(best, row[:, j - 1] + c)
-                if i:
-                    best = np.minimum(best, prev[:, j - 1] + diag * c)
-            row[:, j] = best
-        prev = row
-    out = prev[:, m - 1]
+
+    def once(c: np.ndarray, beside: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        np.minimum(beside, diagonal, out=beside)
+        return np.add(beside, c, out=beside)
+
+    def twice(c: np.ndarray, beside: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        beside += c
+        np.multiply(c, 2.0, out=c)
+        c += diagonal
+        return np.minimum(beside, c, out=beside)
+
+    out = _last_cells(a, b, r, cost != "squared", twice if pattern == "symmetric2" else once)
     return np.sqrt(out) if cost == "squared" else out
 
 

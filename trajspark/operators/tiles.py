@@ -153,7 +153,7 @@ def pair_scales(df: DataFrame, keys: Sequence[str], unit: str, v: str = "v", per
     return ordered.groupBy(*by, F.col("total").alias("n"), "mean").agg(median.alias("median"))
 
 
-def pair_values(df: DataFrame, keys: Sequence[str], unit: str, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], v: str = "v", name: str = "d", symmetric: bool = True, step: int = 4_096, per_block: int = 256) -> DataFrame:
+def pair_values(df: DataFrame, keys: Sequence[str], unit: str, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], v: str = "v", name: str = "d", symmetric: bool = True, step: int = 4_096, per_block: int = 512) -> DataFrame:
     """(keys, unit_a < unit_b, ``name``): ``measure`` (rows of a, rows of b) of all pairs of equally long vectors, ``step`` pairs at a time.
 
     The vector of the smaller unit comes first, which counts where the measure is not ``symmetric``.
