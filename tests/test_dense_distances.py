@@ -90,7 +90,7 @@ def held(f, *args):
     return most
 
 
-@pytest.mark.parametrize("name", ["dtw", "dtw_symmetric1"])
+@pytest.mark.parametrize("name", ["dtw", "dtw_symmetric1", "dtw_banded"])
 def test_warping_holds_no_table_of_costs(name):
     """What it holds does not grow with the pairs, as it takes them in parts that stay in the caches."""
     rng = np.random.default_rng(1)
