@@ -88,16 +88,12 @@ def dtw(a: np.ndarray, b: np.ndarray, pattern: str = "symmetric2", window: int |
 
 def frechet(a: np.ndarray, b: np.ndarray, tau: float | None = None) -> np.ndarray:
     """Discrete Frechet distance; beyond ``tau`` it is infinite."""
-    d = _costs(a, b, False)
-    _, n, m = d.shape
-    prev = np.maximum.accumulate(d[:, 0, :], axis=1)
-    for i in range(1, n):
-        row = np.empty_like(prev)
-        row[:, 0] = np.maximum(prev[:, 0], d[:, i, 0])
-        for j in range(1, m):
-            row[:, j] = np.maximum(d[:, i, j], np.minimum(np.minimum(prev[:, j], prev[:, j - 1]), row[:, j - 1]))
-        prev = row
-    out = prev[:, m - 1]
+
+    def step(c: np.ndarray, beside: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        np.minimum(beside, diagonal, out=beside)
+        return np.maximum(beside, c, out=beside)
+
+    out = np.sqrt(_last_cells(a, b, max(a.shape[1], b.shape[1]), False, step))  # the root keeps the order, so that one will do
     return out if tau is None else np.where(out <= tau, out, _INF)
 
 
