@@ -90,8 +90,8 @@ def held(f, *args):
     return most
 
 
-@pytest.mark.parametrize("name", ["dtw", "dtw_symmetric1", "dtw_banded", "frechet"])
-def test_warping_holds_no_table_of_costs(name):
+@pytest.mark.parametrize("name", ["dtw", "dtw_symmetric1", "dtw_banded", "frechet", "lcss"])
+def test_distances_hold_no_table_of_cells(name):
     """What it holds does not grow with the pairs, as it takes them in parts that stay in the caches."""
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(2, 8_192, 32, 2))

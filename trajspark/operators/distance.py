@@ -97,15 +97,23 @@ def frechet(a: np.ndarray, b: np.ndarray, tau: float | None = None) -> np.ndarra
     return out if tau is None else np.where(out <= tau, out, _INF)
 
 
-def _common_bits(match: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence by (pairs, n, m) matches, m of at most 64: a row is one word, its steps are carries."""
-    p, n, m = match.shape
-    wide = np.zeros((p, n, 64), bool)
-    wide[:, :, :m] = match
-    words = np.packbits(wide, axis=2, bitorder="little").view("<u8")[:, :, 0].astype(np.uint64)
-    v = np.full(p, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(n):
-        u = v & words[:, i]
+def _common_bits(a: np.ndarray, b: np.ndarray, epsilon: float, delta: int) -> np.ndarray:
+    """Length of the longest common subsequence of (points, pairs) values, b of at most 64 points: a row is one word, its steps are carries.
+
+    Only the cells at most ``delta`` from the diagonal are looked at; no other can match.
+    """
+    n, m = len(a), len(b)
+    words = np.zeros(a.shape, np.uint64)
+    places = np.arange(m, dtype=np.uint64)[:, None]
+    for k in range(max(-delta, 1 - n), min(delta, m - 1) + 1):
+        lo, hi = max(0, -k), min(n, m - k)  # rows i whose cell i + k exists
+        if lo < hi:
+            d = a[lo:hi] - b[lo + k : hi + k]
+            hit = (np.abs(d, out=d) <= epsilon).astype(np.uint64)
+            words[lo:hi] |= np.left_shift(hit, places[lo + k : hi + k], out=hit)
+    v = np.full(a.shape[1], np.iinfo(np.uint64).max, np.uint64)
+    for word in words:
+        u = v & word
         v = (v + u) | (v - u)
     return np.bitwise_count(~v).astype(int)
 
@@ -117,10 +125,12 @@ def lcss(a: np.ndarray, b: np.ndarray, epsilon: float = 1.0, alpha: float = 0.1)
     delta = 1 if least <= 1 else max(1, int(np.ceil(alpha * least)))
     total = np.zeros(len(a))
     for axis in range(a.shape[2]):
-        near = np.abs(a[:, :, None, axis] - b[:, None, :, axis]) <= epsilon
         if m <= 64:
-            total += _common_bits(near & (np.abs(np.arange(n)[:, None] - np.arange(m)) <= delta)) / least
+            for k in range(0, len(a), _PAIRS):
+                x, y = (np.ascontiguousarray(t[k : k + _PAIRS, :, axis].T) for t in (a, b))
+                total[k : k + _PAIRS] += _common_bits(x, y, epsilon, delta) / least
             continue
+        near = np.abs(a[:, :, None, axis] - b[:, None, :, axis]) <= epsilon
         prev = np.zeros((len(a), m + 1), int)
         for i in range(n):
             row = np.zeros_like(prev)
