@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
-from trajspark.operators import distance
+from trajspark.operators import distance, tiles
 from trajspark.plans import scores
 
 
@@ -96,3 +98,30 @@ def test_distances_hold_no_table_of_cells(name):
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(2, 8_192, 32, 2))
     assert held(distance.metric(name), a, b) < 8 * 8_192 * 32 * 32 / 4
+
+
+@pytest.mark.parametrize("n,m", [(1, 1), (6, 6), (9, 7), (32, 32)])
+@pytest.mark.parametrize("options", [{}, {"pattern": "symmetric1"}, {"pattern": "symmetric1", "window": 4, "cost": "squared"}, {"window": 0}, {"window": 1, "widen": True}])
+def test_crossed_tracks_are_each_with_each(n, m, options):
+    rng = np.random.default_rng(n * m)
+    a, b = rng.normal(size=(13, n, 2)), rng.normal(size=(600, m, 2))
+    i, j = np.divmod(np.arange(13 * 600), 600)
+    paired = distance.dtw(a[i], b[j], **options).reshape(13, 600)
+    assert (distance.dtw(a[:, None], b[None], **options) == paired).all()
+    assert (distance.frechet(a[:, None], b[None]) == distance.frechet(a[i], b[j]).reshape(13, 600)).all()
+
+
+def test_crossed_tiles_have_the_same_pairs(spark, sf_dir):
+    v, f = scores.vectors(spark, sf_dir), distance.flat_measure("dtw_banded", window=4)
+    got = [rows(tiles.pair_values(v, ["flow"], "flight_id", f, crossed=c, per_block=b)) for c in (True, False) for b in (8, 512)]
+    assert len(got[0]) > 100 and all(g == got[0] for g in got)
+
+
+def test_only_the_band_is_held():
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(2, 64, 4_000, 1))
+    tracemalloc.start()
+    distance.dtw(a, b, "symmetric1", window=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * a.nbytes  # the two tracks again, and a few antidiagonals

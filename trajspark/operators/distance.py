@@ -22,54 +22,75 @@ def _costs(a: np.ndarray, b: np.ndarray, squared: bool) -> np.ndarray:
     return d if squared else np.sqrt(d)
 
 
-#: Pairs that go through a dynamic program together, few enough for the caches.
+#: Pairs that go through a dynamic program together, and cells of an antidiagonal: few enough for the caches.
 _PAIRS = 1_024
+_CELLS = 1 << 15
+
+
+def _program(x: np.ndarray, y: np.ndarray, radius: int, root: bool, step: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The last cells of (dims, points, ...) tracks, the second ones backwards; what trails is broadcast.
+
+    Points lead and pairs trail: an antidiagonal is a slice of the one track and a slice of the other one backwards. Of
+    an antidiagonal only the cells within ``radius`` are held, between two infinite ones.
+    """
+    n, m, trail = x.shape[1], y.shape[1], np.broadcast_shapes(x.shape[2:], y.shape[2:])
+    high = min(n, m, radius + 1)
+    before, last, now = (np.full((high + 2, *trail), _INF) for _ in range(3))
+    room, near = np.empty((len(x), high, *trail)), np.empty((high, *trail))
+    lo = ago = 0
+    for k in range(n + m - 1):
+        ago, earlier, lo = lo, ago, max(0, k - m + 1, (k - radius + 1) // 2)
+        w = min(n, k + 1, (k + radius) // 2 + 1) - lo
+        up, corner = lo - ago, lo - earlier
+        now[0], now[w + 1] = _INF, _INF
+        if w:
+            d = np.subtract(x[:, lo : lo + w], y[:, m - 1 - k + lo : m - 1 - k + lo + w], out=room[:, :w])
+            np.multiply(d, d, out=d)
+            c = d[0]
+            for more in d[1:]:
+                c += more
+            if root:
+                np.sqrt(c, out=c)
+            now[1 : w + 1] = step(c, np.minimum(last[up : up + w], last[up + 1 : up + 1 + w], out=near[:w]), before[corner : corner + w]) if k else c
+        before, last, now = last, now, before
+    return last[1]
 
 
 def _last_cells(a: np.ndarray, b: np.ndarray, radius: int, root: bool, step: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """The last cell of each pair's dynamic program; cells farther than ``radius`` from the diagonal are infinite.
 
-    ``step`` gets (costs, least of the cells above and to the left, cells before on the diagonal) and may overwrite them. Costs
-    are squared distances or, with ``root``, distances. Points lead and pairs trail: an antidiagonal is a slice of the one
-    track and a slice of the other one backwards.
+    Tracks are (pairs, points, dims) on both sides or, for every one with every other one, (units, 1, points, dims) and
+    (1, units, points, dims), of which no pair is copied. ``step`` gets (costs, least of the cells above and to the left,
+    cells before on the diagonal) and may overwrite them. Costs are squared distances or, with ``root``, distances.
     """
-    (p, n, dims), m = a.shape, b.shape[1]
-    out = np.full(p, _INF)
+    n, m = a.shape[-2], b.shape[-2]
+    out = np.full(np.broadcast_shapes(a.shape[:-2], b.shape[:-2]), _INF)
     if abs(n - m) > radius:
         return out
-    for start in range(0, p, _PAIRS):
-        x = np.ascontiguousarray(a[start : start + _PAIRS].transpose(2, 1, 0))
-        y = np.ascontiguousarray(b[start : start + _PAIRS, ::-1].transpose(2, 1, 0))
-        w = x.shape[2]
-        before, last, now = (np.full((n + 2, w), _INF) for _ in range(3))  # point i is in row i + 1
-        room, more, near = (np.empty((min(n, m), w)) for _ in range(3))
-        for k in range(n + m - 1):
-            lo, hi = max(0, k - m + 1, (k - radius + 1) // 2), min(n, k + 1, (k + radius) // 2 + 1)
-            now[lo], now[hi + 1] = _INF, _INF
-            if lo < hi:
-                at = slice(m - 1 - k + lo, m - 1 - k + hi)
-                c, other, least = room[: hi - lo], more[: hi - lo], near[: hi - lo]
-                for dim in range(dims):
-                    d = np.subtract(x[dim, lo:hi], y[dim, at], out=other if dim else c)
-                    np.multiply(d, d, out=d)
-                    if dim:
-                        c += d
-                if root:
-                    np.sqrt(c, out=c)
-                now[lo + 1 : hi + 1] = step(c, np.minimum(last[lo:hi], last[lo + 1 : hi + 1], out=least), before[lo:hi]) if k else c
-            before, last, now = last, now, before
-        out[start : start + w] = last[n]
+    x, y = (np.moveaxis(t, (-1, -2), (0, 1)) for t in (a, b[..., ::-1, :]))
+    crossed = out.ndim == 2
+    wide = _PAIRS // 2 if crossed else _PAIRS
+    tall = max(1, _CELLS // (wide * min(n, m, radius + 1)))
+    for start in range(0, out.shape[-1], wide):
+        at = slice(start, start + wide)
+        t = np.ascontiguousarray(y[..., at])
+        if not crossed:
+            out[at] = _program(np.ascontiguousarray(x[..., at]), t, radius, root, step)
+            continue
+        for first in range(0, len(out), tall):
+            rows = slice(first, first + tall)
+            out[rows, at] = _program(np.ascontiguousarray(x[:, :, rows]), t, radius, root, step)
     return out
 
 
 def dtw(a: np.ndarray, b: np.ndarray, pattern: str = "symmetric2", window: int | None = None, cost: str = "euclid", widen: bool = False) -> np.ndarray:
-    """Warping distance of each pair of (pairs, points, dims) arrays.
+    """Warping distance of each pair of (pairs, points, dims) arrays, or of all crossed pairs as ``_last_cells`` has them.
 
     symmetric2 counts a diagonal step twice, symmetric1 once. ``window`` is the Sakoe-Chiba radius,
     infinite distances mean that it admits no path; ``widen`` raises it to the difference of the lengths. With cost
     'squared' the result is the root of the summed squares.
     """
-    n, m = a.shape[1], b.shape[1]
+    n, m = a.shape[-2], b.shape[-2]
     r = max(n, m) if window is None else max(window, abs(n - m)) if widen else window
 
     def once(c: np.ndarray, beside: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
@@ -93,7 +114,7 @@ def frechet(a: np.ndarray, b: np.ndarray, tau: float | None = None) -> np.ndarra
         np.minimum(beside, diagonal, out=beside)
         return np.maximum(beside, c, out=beside)
 
-    out = np.sqrt(_last_cells(a, b, max(a.shape[1], b.shape[1]), False, step))  # the root keeps the order, so that one will do
+    out = np.sqrt(_last_cells(a, b, max(a.shape[-2], b.shape[-2]), False, step))  # the root keeps the order, so that one will do
     return out if tau is None else np.where(out <= tau, out, _INF)
 
 
@@ -166,16 +187,16 @@ def metric(name: str) -> Callable[..., np.ndarray]:
 
 
 def flat_measure(name: str, dims: int = 2, **options) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """A metric over rows of flat tracks of one length, for tiles."""
+    """A metric over rows of flat tracks of one length, for tiles; those of warping and Frechet's take crossed rows too."""
     f = functools.partial(metric(name), **options)
 
     def measure(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         for m in (a, b):
-            if m.shape[1] % dims:
-                raise ValueError(f"{m.shape[1]} values are no points of {dims} dimensions")
+            if m.shape[-1] % dims:
+                raise ValueError(f"{m.shape[-1]} values are no points of {dims} dimensions")
             if not np.isfinite(m).all():
                 raise ValueError("tracks must be finite")
-        return f(a.reshape(len(a), -1, dims), b.reshape(len(b), -1, dims))
+        return f(a.reshape(*a.shape[:-1], -1, dims), b.reshape(*b.shape[:-1], -1, dims))
 
     return measure
 

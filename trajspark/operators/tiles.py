@@ -55,7 +55,7 @@ def by_tile(df: DataFrame, keys: Sequence[str], unit: str, cols: Sequence[str],
         i, j = key[-2], key[-1]
         out = kernel(a, b, i == j)
         n = len(next(iter(out.values())))
-        return pd.DataFrame({**{k: [v] * n for k, v in zip(keys, key, strict=False)}, **out}, columns=[*keys, *names])
+        return pd.DataFrame({**dict(zip(keys, key, strict=False)), **out}, columns=[*keys, *names], index=range(n))
 
     by = [*keys, "_i", "_j"]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, ", ".join([*named, schema]))
@@ -153,11 +153,27 @@ def pair_scales(df: DataFrame, keys: Sequence[str], unit: str, v: str = "v", per
     return ordered.groupBy(*by, F.col("total").alias("n"), "mean").agg(median.alias("median"))
 
 
-def pair_values(df: DataFrame, keys: Sequence[str], unit: str, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], v: str = "v", name: str = "d", symmetric: bool = True, step: int = 4_096, per_block: int = 512) -> DataFrame:
+def pair_values(df: DataFrame, keys: Sequence[str], unit: str, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], v: str = "v", name: str = "d", symmetric: bool = True, step: int = 4_096, per_block: int = 512, crossed: bool = False) -> DataFrame:
     """(keys, unit_a < unit_b, ``name``): ``measure`` (rows of a, rows of b) of all pairs of equally long vectors, ``step`` pairs at a time.
 
-    The vector of the smaller unit comes first, which counts where the measure is not ``symmetric``.
+    The vector of the smaller unit comes first, which counts where the measure is not ``symmetric``. A symmetric measure that is
+    ``crossed`` gets (rows of a, 1, values) and (1, rows of b, values) and gives the matrix of each with each.
     """
+    if crossed and not symmetric:
+        raise ValueError("only a symmetric measure can be crossed")
+
+    def table(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> dict[str, np.ndarray]:
+        if same:  # in order, so that its pairs are those above the diagonal
+            a, b = a.sort_values(unit), b.sort_values(unit)
+        ua, ub, take, turned = _pairs_of(a, b, unit, same)
+        x, y = _matrix(a[v]), _matrix(b[v])
+        d, rows = np.empty(take.shape), max(1, step // 64)
+        for k in range(0, len(x), rows):
+            at = slice(k if same else 0, None)
+            d[k : k + rows, at] = measure(x[k : k + rows, None], y[None, at])
+        i, j = np.nonzero(take)
+        swap = turned[i, j]
+        return {f"{unit}_a": np.where(swap, ub[j], ua[i]), f"{unit}_b": np.where(swap, ua[i], ub[j]), name: d[i, j]}
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> dict[str, np.ndarray]:
         ua, ub, take, turned = _pairs_of(a, b, unit, same)
@@ -170,7 +186,7 @@ def pair_values(df: DataFrame, keys: Sequence[str], unit: str, measure: Callable
         return {f"{unit}_a": np.where(swap, ub[j], ua[i]), f"{unit}_b": np.where(swap, ua[i], ub[j]), name: out}
 
     kind = dict(df.dtypes)[unit]
-    return _tiles(df, keys, unit, v, [], kernel, f"`{unit}_a` {kind}, `{unit}_b` {kind}, `{name}` double", per_block)
+    return _tiles(df, keys, unit, v, [], table if crossed else kernel, f"`{unit}_a` {kind}, `{unit}_b` {kind}, `{name}` double", per_block)
 
 
 def nearest(df: DataFrame, keys: Sequence[str], unit: str, k: int, v: str = "v", per_block: int = PER_BLOCK) -> DataFrame:
