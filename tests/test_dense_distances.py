@@ -125,3 +125,32 @@ def test_only_the_band_is_held():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 3 * a.nbytes  # the two tracks again, and a few antidiagonals
+
+
+@pytest.mark.parametrize("rows_,others,n,m", [(1, 1, 3, 3), (7, 1_500, 6, 5), (130, 517, 32, 32), (3, 2_049, 1, 4)])
+def test_arrays_of_a_program_serve_every_batch(monkeypatch, rows_, others, n, m):
+    """A few programs take all pairs, in whole cache lines, and nothing of one batch is left in the next."""
+    made, begin = [], distance._Program.__init__
+
+    def poisoned(self, *args):
+        begin(self, *args)
+        made.append(self)
+        for s in (self.costs, self.near, *self.states):
+            s.fill(-1e9)
+
+    monkeypatch.setattr(distance._Program, "__init__", poisoned)
+    rng = np.random.default_rng(others)
+    a, b = rng.normal(size=(rows_, n, 2)), rng.normal(size=(others, m, 2))
+    got = distance.dtw(a[:, None], b[None], "symmetric1")
+    assert 1 <= len(made) <= 4
+    assert all(t.ctypes.data % 64 == 0 and t.strides[-2] % 64 == 0 for p in made for t in (p.x, p.y, p.costs, p.near, *p.states))
+    add = lambda c, beside, corner, diagonal: min(beside + c, corner + diagonal * c)
+    for i, j in zip(rng.integers(rows_, size=20), rng.integers(others, size=20), strict=True):
+        assert got[i, j] == pytest.approx(textbook(a[i], b[j], max(n, m), 1, euclid, add))
+    few = rng.integers(others, size=50)
+    assert (got[:, few] == distance.dtw(np.repeat(a, 50, 0), np.tile(b[few], (rows_, 1, 1)), "symmetric1").reshape(rows_, 50)).all()
+
+
+def test_symmetric1_is_crossed(monkeypatch):
+    monkeypatch.setattr(scores, "_dense", lambda spark, d, name, crossed=False, **options: (name, crossed, options))
+    assert scores.dtw_symmetric1_dense(None, None) == ("dtw_symmetric1", True, {})

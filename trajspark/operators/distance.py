@@ -25,61 +25,94 @@ def _costs(a: np.ndarray, b: np.ndarray, squared: bool) -> np.ndarray:
 #: Pairs that go through a dynamic program together, and cells of an antidiagonal: few enough for the caches.
 _PAIRS = 1_024
 _CELLS = 1 << 15
+#: Bytes of a cache line: NumPy's loops take up to twice as long over arrays that do not begin with one.
+_LINE = 64
 
 
-def _program(x: np.ndarray, y: np.ndarray, radius: int, root: bool, step: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The last cells of (dims, points, ...) tracks, the second ones backwards; what trails is broadcast.
+def _lined(*shape: int) -> np.ndarray:
+    """An empty array that begins with a cache line."""
+    size = 8 * int(np.prod(shape))
+    raw = np.empty(size + _LINE, np.uint8)
+    at = -raw.ctypes.data % _LINE
+    return raw[at : at + size].view(float).reshape(shape)
+
+
+class _Program:
+    """A dynamic program over antidiagonals for up to ``pairs`` pairs of (dims, points, pairs) tracks, whose arrays serve again and again.
 
     Points lead and pairs trail: an antidiagonal is a slice of the one track and a slice of the other one backwards. Of
-    an antidiagonal only the cells within ``radius`` are held, between two infinite ones.
+    an antidiagonal only the cells within ``radius`` are held, between two infinite ones. Each row is whole cache lines.
     """
-    n, m, trail = x.shape[1], y.shape[1], np.broadcast_shapes(x.shape[2:], y.shape[2:])
-    high = min(n, m, radius + 1)
-    before, last, now = (np.full((high + 2, *trail), _INF) for _ in range(3))
-    room, near = np.empty((len(x), high, *trail)), np.empty((high, *trail))
-    lo = ago = 0
-    for k in range(n + m - 1):
-        ago, earlier, lo = lo, ago, max(0, k - m + 1, (k - radius + 1) // 2)
-        w = min(n, k + 1, (k + radius) // 2 + 1) - lo
-        up, corner = lo - ago, lo - earlier
-        now[0], now[w + 1] = _INF, _INF
-        if w:
-            d = np.subtract(x[:, lo : lo + w], y[:, m - 1 - k + lo : m - 1 - k + lo + w], out=room[:, :w])
-            np.multiply(d, d, out=d)
-            c = d[0]
-            for more in d[1:]:
-                c += more
-            if root:
-                np.sqrt(c, out=c)
-            now[1 : w + 1] = step(c, np.minimum(last[up : up + w], last[up + 1 : up + 1 + w], out=near[:w]), before[corner : corner + w]) if k else c
-        before, last, now = last, now, before
-    return last[1]
-
-
-def _last_cells(a: np.ndarray, b: np.ndarray, radius: int, root: bool, step: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+
+    def __init__(self, dims: int, n: int, m: int, pairs: int, radius: int):
+        width, self.n, self.m, self.radius = -(-pairs * 8 // _LINE) * _LINE // 8, n, m, radius
+        high = min(n, m, radius + 1)
+        self.x, self.y = _lined(dims, n, width), _lined(dims, m, width)
+        self.x[..., pairs:] = self.y[..., pairs:] = 0
+        self.costs, self.near = _lined(high, width), _lined(high, width)
+        self.states = [_lined(high + 2, width) for _ in range(3)]
+
+    def last(self, root: bool, step: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The last cells of the tracks in ``x`` and, backwards, in ``y``."""
+        n, m, radius = self.n, self.m, self.radius
+        before, last, now = self.states
+        last[:3] = _INF  # the one before the first
+        lo = ago = 0
+        for k in range(n + m - 1):
+            ago, earlier, lo = lo, ago, max(0, k - m + 1, (k - radius + 1) // 2)
+            w = min(n, k + 1, (k + radius) // 2 + 1) - lo
+            up, corner = lo - ago, lo - earlier
+            now[0], now[w + 1] = _INF, _INF
+            if w:
+                c, near, out = self.costs[:w], self.near[:w], now[1 : w + 1]
+                ours, theirs = self.x[:, lo : lo + w], self.y[:, m - 1 - k + lo : m - 1 - k + lo + w]
+                for dim, (p, q) in enumerate(zip(ours, theirs, strict=True)):
+                    d = np.subtract(p, q, out=near if dim else c)
+                    np.multiply(d, d, out=d)
+                    if dim:
+                        c += d
+                if root:
+                    np.sqrt(c, out=c)
+                if k:
+                    step(c, np.minimum(last[up : up + w], last[up + 1 : up + 1 + w], out=near), before[corner : corner + w], out)
+                else:
+                    out[:] = c
+            before, last, now = last, now, before
+        return last[1]
+
+
+def _shares(n: int, most: int) -> Iterator[slice]:
+    """Slices of ``n``, as few as hold ``most`` each at most, and about equally long."""
+    count = -(-n // most)
+    return (slice(n * k // count, n * (k + 1) // count) for k in range(count))
+
+
+def _last_cells(a: np.ndarray, b: np.ndarray, radius: int, root: bool, step: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """The last cell of each pair's dynamic program; cells farther than ``radius`` from the diagonal are infinite.
 
     Tracks are (pairs, points, dims) on both sides or, for every one with every other one, (units, 1, points, dims) and
-    (1, units, points, dims), of which no pair is copied. ``step`` gets (costs, least of the cells above and to the left,
-    cells before on the diagonal) and may overwrite them. Costs are squared distances or, with ``root``, distances.
+    (1, units, points, dims), of which only the pairs at hand are copied. ``step`` gets (costs, least of the cells above and
+    to the left, cells before on the diagonal, where the cells belong) and may overwrite the first two. Costs are squared
+    distances or, with ``root``, distances.
     """
-    n, m = a.shape[-2], b.shape[-2]
-    out = np.full(np.broadcast_shapes(a.shape[:-2], b.shape[:-2]), _INF)
-    if abs(n - m) > radius:
+    n, m, dims, units = a.shape[-2], b.shape[-2], a.shape[-1], np.broadcast_shapes(a.shape[:-2], b.shape[:-2])
+    out = np.full(units, _INF)
+    if abs(n - m) > radius or not out.size:
         return out
-    x, y = (np.moveaxis(t, (-1, -2), (0, 1)) for t in (a, b[..., ::-1, :]))
-    crossed = out.ndim == 2
-    wide = _PAIRS // 2 if crossed else _PAIRS
-    tall = max(1, _CELLS // (wide * min(n, m, radius + 1)))
-    for start in range(0, out.shape[-1], wide):
-        at = slice(start, start + wide)
-        t = np.ascontiguousarray(y[..., at])
-        if not crossed:
-            out[at] = _program(np.ascontiguousarray(x[..., at]), t, radius, root, step)
-            continue
-        for first in range(0, len(out), tall):
-            rows = slice(first, first + tall)
-            out[rows, at] = _program(np.ascontiguousarray(x[:, :, rows]), t, radius, root, step)
+    cells = out.reshape(-1, units[-1])  # pairs that are not crossed are one row
+    x, y = (np.broadcast_to(np.moveaxis(t, (-1, -2), (0, 1)), (dims, t.shape[-2], *units)) for t in (a, b[..., ::-1, :]))
+    if out.ndim == 1:
+        x, y = x[:, :, None], y[:, :, None]
+    programs: dict[int, _Program] = {}
+    most = max(_PAIRS, min(2 * _PAIRS, _CELLS // min(n, m, radius + 1)))
+    for at in _shares(cells.shape[1], _PAIRS):
+        for rows in _shares(len(cells), max(1, most // (at.stop - at.start))):
+            part = rows.stop - rows.start, at.stop - at.start
+            pairs = part[0] * part[1]
+            program = programs.get(pairs) or programs.setdefault(pairs, _Program(dims, n, m, pairs, radius))
+            program.x[..., :pairs].reshape(dims, n, *part)[...] = x[:, :, rows, at]
+            program.y[..., :pairs].reshape(dims, m, *part)[...] = y[:, :, rows, at]
+            cells[rows, at] = program.last(root, step)[:pairs].reshape(part)
     return out
 
 
@@ -93,15 +126,15 @@ def dtw(a: np.ndarray, b: np.ndarray, pattern: str = "symmetric2", window: int |
     n, m = a.shape[-2], b.shape[-2]
     r = max(n, m) if window is None else max(window, abs(n - m)) if widen else window
 
-    def once(c: np.ndarray, beside: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    def once(c: np.ndarray, beside: np.ndarray, diagonal: np.ndarray, to: np.ndarray) -> np.ndarray:
         np.minimum(beside, diagonal, out=beside)
-        return np.add(beside, c, out=beside)
+        return np.add(beside, c, out=to)
 
-    def twice(c: np.ndarray, beside: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    def twice(c: np.ndarray, beside: np.ndarray, diagonal: np.ndarray, to: np.ndarray) -> np.ndarray:
         beside += c
         np.multiply(c, 2.0, out=c)
         c += diagonal
-        return np.minimum(beside, c, out=beside)
+        return np.minimum(beside, c, out=to)
 
     out = _last_cells(a, b, r, cost != "squared", twice if pattern == "symmetric2" else once)
     return np.sqrt(out) if cost == "squared" else out
@@ -110,9 +143,9 @@ def dtw(a: np.ndarray, b: np.ndarray, pattern: str = "symmetric2", window: int |
 def frechet(a: np.ndarray, b: np.ndarray, tau: float | None = None) -> np.ndarray:
     """Discrete Frechet distance; beyond ``tau`` it is infinite."""
 
-    def step(c: np.ndarray, beside: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    def step(c: np.ndarray, beside: np.ndarray, diagonal: np.ndarray, to: np.ndarray) -> np.ndarray:
         np.minimum(beside, diagonal, out=beside)
-        return np.maximum(beside, c, out=beside)
+        return np.maximum(beside, c, out=to)
 
     out = np.sqrt(_last_cells(a, b, max(a.shape[-2], b.shape[-2]), False, step))  # the root keeps the order, so that one will do
     return out if tau is None else np.where(out <= tau, out, _INF)

@@ -95,7 +95,7 @@ def _sum_step(diag: int, band: int | None = None) -> str:
 
 
 def _dense(spark, d, name, crossed=False, **options):
-    """A costly distance of every pair of a flow; ``crossed`` is faster where a band leaves few cells."""
+    """A costly distance of every pair of a flow; ``crossed`` gives the kernel two blocks instead of lists of pairs."""
     return tiles.pair_values(vectors(spark, d), ["flow"], "flight_id", distance.flat_measure(name, **options), crossed=crossed).withColumn("d", r("d"))
 
 
@@ -148,7 +148,7 @@ def dtw_symmetric2_dense(spark, d):
 
 @query(_dp_sql(_EUC, _SUM_FIRST, _sum_step(1), edges=_ALL))
 def dtw_symmetric1_dense(spark, d):
-    return _dense(spark, d, "dtw_symmetric1")
+    return _dense(spark, d, "dtw_symmetric1", crossed=True)
 
 
 @query(_dp_sql(_SQ, _BAND_FIRST, _sum_step(1, 4), "sqrt(row[32])", edges=_ALL))
