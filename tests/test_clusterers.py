@@ -428,3 +428,46 @@ def test_speed_profiles(spark):
     p = spark.createDataFrame(rows, "id string, t double, x double, y double, gs double")
     got = resample.speed_profile(p, ["id"], ["t"], "x", "y", "t", 5, "gs").first()["speed"]
     assert got == pytest.approx([51.4444, 5, 5, 5, 5])
+
+
+def plain_affinity(x, damping=0.7, iterations=200):
+    """Messages in whole matrices, over all units."""
+    s = -((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(s, np.median(s))
+    n = len(s)
+    r, a = np.zeros((n, n)), np.zeros((n, n))
+    for _ in range(iterations):
+        v = a + s
+        new = np.array([[s[i, k] - np.delete(v[i], k).max() for k in range(n)] for i in range(n)])
+        r = damping * r + (1 - damping) * new
+        p = np.where(np.eye(n, dtype=bool), r, np.maximum(r, 0))
+        new = p.sum(0) - p
+        a = damping * a + (1 - damping) * np.where(np.eye(n, dtype=bool), new, np.minimum(new, 0))
+    found = np.flatnonzero(np.diag(a + r) > 0)
+    return found[((x[:, None] - x[found]) ** 2).sum(2).argmin(1)]
+
+
+@pytest.mark.parametrize(("cells", "matrix_bytes"), [(cluster._CELLS, cluster.MATRIX_BYTES), (300, cluster.MATRIX_BYTES), (300, 0)])
+def test_affinity_messages_are_those_of_whole_matrices(monkeypatch, cells, matrix_bytes):
+    monkeypatch.setattr(cluster, "_CELLS", cells)
+    monkeypatch.setattr(cluster, "MATRIX_BYTES", matrix_bytes)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0, 0.5, (12, 3)) + k for k in (0, 2, 4)] + [rng.normal(0, 3, (9, 3))])
+    lab = cluster.affinity_propagation(x, iterations=60)
+    assert same_groups(lab, plain_affinity(x, iterations=60)) and len(set(lab)) > 3
+
+
+def test_affinity_seeks_exemplars_on_all_units():
+    rng = np.random.default_rng(3)
+    far = np.random.default_rng(0).permutation(2_100)[2_000:2_003]  # away from the others, none among the 2,000 that were drawn before
+    x = rng.normal(0, 1, (2_100, 16))
+    x[far] = 40 + np.array([[0.0], [0.1], [-0.2]])
+    lab = cluster.affinity_propagation(x, iterations=100)
+    assert lab.min() >= 0 and len(set(lab[far])) == 1 and not set(lab[far]) & set(np.delete(lab, far))
+
+
+def test_the_median_of_blocks_is_exact():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 1_000):
+        x = rng.choice([0.0, 1e-300, 0.5, *rng.exponential(3, 40)], n)
+        assert cluster.median_of(lambda x=x: iter(np.array_split(x, 3)), n) == np.median(x)

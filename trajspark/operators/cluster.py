@@ -597,33 +597,106 @@ def mean_shift(x: np.ndarray, bandwidth: float | None = None, quantile: float =
     return nearest_centre(x, centres)
 
 
-def affinity_propagation(x: np.ndarray, damping: float = 0.7, preference: float | None = None, iterations: int = 200, sample: int = 2_000, seed: int = 0) -> np.ndarray:
-    """Exemplars found on at most ``sample`` units; the others go to the nearest exemplar."""
-    at = np.sort(np.random.default_rng(seed).permutation(len(x))[:sample])
-    s = -(distances(x[at]) ** 2)
-    np.fill_diagonal(s, np.median(s) if preference is None else preference)
-    n = len(s)
-    r, a = np.zeros((n, n)), np.zeros((n, n))
-    i = np.arange(n)
+def median_of(blocks: Callable[[], Iterator[np.ndarray]], n: int) -> float:
+    """The median of ``n`` numbers from 0 up that come in blocks, read again for each 16 of their bits, which are ordered as they are."""
+
+    def ranked(k: int) -> float:
+        head = 0
+        for shift in (48, 32, 16, 0):
+            counts = np.zeros(1 << 16, np.int64)
+            for block in blocks():
+                bits = np.ascontiguousarray(block).view(np.int64).ravel()
+                counts += np.bincount((bits if shift == 48 else bits[bits >> (shift + 16) == head]) >> shift & 0xFFFF, minlength=1 << 16)
+            least = np.cumsum(counts)
+            at = int(np.searchsorted(least, k, side="right"))
+            k -= int(least[at] - counts[at])
+            head = head << 16 | at
+        return float(np.array(head, np.int64).view(float))
+
+    low = ranked((n - 1) // 2)
+    return low if n % 2 else (low + ranked(n // 2)) / 2
+
+
+def merged(*places: np.ndarray) -> np.ndarray:
+    """Ascending places without repeats, from runs of them."""
+    both = np.sort(np.concatenate(places), kind="stable")
+    return both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+
+
+def put_in(at: np.ndarray, values: np.ndarray, more_at: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers at ascending places, and more of them added at others."""
+    both = merged(at, more_at)
+    out = np.zeros(len(both))
+    out[np.searchsorted(both, at)] = values
+    out[np.searchsorted(both, more_at)] += more
+    return both, out
+
+
+def affinity_propagation(x: np.ndarray, damping: float = 0.7, preference: float | None = None, iterations: int = 200) -> np.ndarray:
+    """Exemplars found on all units; every unit goes to the nearest exemplar.
+
+    Half of the similarities is held if it fits ``MATRIX_BYTES``, or they are computed as they are asked for. A responsibility is its
+    similarity times ``grown``, less a number of its row (``less``), and more by ``extra`` where it was ever the first of its row. An
+    availability is a number of its column (``common``), and less by ``under`` where its responsibility was ever positive. Only such pairs are held.
+    """
+    n, x = len(x), np.ascontiguousarray(x, float)
+    if n < 2:
+        return np.full(n, -1)
+    square = (x * x).sum(1)
+    left, right = np.column_stack([2 * x, -square, -np.ones(n)]), np.vstack([x.T, np.ones(n), square])
+    blocks = [(p, np.arange(p.stop - p.start), np.arange(p.start, p.stop)) for p in parts(n, max(n, _CELLS // 64))]
+    buffers = [np.empty((len(blocks[0][1]), n)) for _ in range(2)]
+
+    held = [left[p] @ right[:, p.start :] for p, _, _ in blocks] if n * n * 4 <= MATRIX_BYTES else []
+
+    def similar(k: int, diagonal: float) -> np.ndarray:
+        p, i, own = blocks[k]
+        s = buffers[0][: len(i)]
+        if held:
+            s[:, p.start :] = held[k]
+            for (q, _, _), rows in zip(blocks[:k], held, strict=False):
+                s[:, q] = rows[:, p.start - q.start : p.stop - q.start].T
+        else:
+            np.matmul(left[p], right, out=s)
+        s[i, own] = diagonal
+        return s
+
+    if preference is None:
+        preference = -median_of(lambda: (np.maximum(-similar(k, 0.0), 0) + 0.0 for k in range(len(blocks))), n * n)
+    share, grown, less, common = 1 - damping, 0.0, np.zeros(n), np.zeros(n)
+    r_own, a_own, total = np.zeros(n), np.zeros(n), np.zeros(n)
+    none = np.zeros(0, np.int64), np.zeros(0)
+    extra, under, positive = [none] * len(blocks), [none] * len(blocks), [none] * len(blocks)
     for _ in range(iterations):
-        v = a + s
-        first = v.argmax(1)
-        top = v[i, first]
-        v[i, first] = -np.inf
-        new = s - top[:, None]
-        new[i, first] = s[i, first] - v.max(1)
-        r = damping * r + (1 - damping) * new
-        p = np.maximum(r, 0)
-        p[i, i] = r[i, i]
-        new = p.sum(0)[None, :] - p
-        own = new[i, i].copy()
-        new = np.minimum(new, 0)
-        new[i, i] = own
-        a = damping * a + (1 - damping) * new
-    exemplars = np.flatnonzero(np.diag(a + r) > 0)
-    if not len(exemplars):
-        return np.full(len(x), -1)
-    return nearest_centre(x, x[at[exemplars]])
+        grown, sums, low = damping * grown + share, np.zeros(n), np.minimum(total, 0)
+        for k, (p, i, own) in enumerate(blocks):
+            s = similar(k, preference)
+            at, r = positive[k]
+            drop = np.minimum(total[at % n] - r, 0) - low[at % n]
+            at, drop = put_in(under[k][0], damping * under[k][1], at, share * drop)
+            under[k] = at.astype(np.int32), drop
+            v = np.add(s, common, out=buffers[1][: len(i)])
+            v.reshape(-1)[at] += drop
+            v[i, own] = a_own[p] + preference
+            first = v.argmax(1)
+            top = v[i, first]
+            v[i, first] = -np.inf
+            less[p] = damping * less[p] + share * top
+            second = v[i, v.argmax(1)]
+            at, more = extra[k] = put_in(extra[k][0], damping * extra[k][1], i * n + first, share * (top - second))
+            most = merged(np.flatnonzero(s > less[p, None] / grown), at, i * n + own)
+            r = grown * s.reshape(-1)[most] - less[p][most // n]
+            r[np.searchsorted(most, at)] += more
+            mine = np.searchsorted(most, i * n + own)
+            r_own[p], r[mine] = r[mine], 0
+            keep = r > 0
+            positive[k] = most[keep].astype(np.int32), r[keep]
+            sums += np.bincount(most[keep] % n, r[keep], n)
+        total = sums + r_own
+        a_own = damping * a_own + share * sums
+        common = damping * common + share * np.minimum(total, 0)
+    exemplars = np.flatnonzero(a_own + r_own > 0)
+    return nearest_centre(x, x[exemplars]) if len(exemplars) else np.full(n, -1)
 
 
 def classical_mds(d: np.ndarray, dims: int = 8) -> np.ndarray:
